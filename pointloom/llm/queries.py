@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from pointloom.llm.clusters import clusters, hashed_vectors, kmeans, mutual_clusters
 from pointloom.llm.cooccurrence import pair_counts
 from pointloom.llm.distinctive import term_scores
+from pointloom.llm.leaks import leaked
+from pointloom.llm.packing import containers
 from pointloom.llm.termfreq import marked, merged, term_counts
 from pointloom.llm.topn import top_items
+from pointloom.llm.toxic import Field, clean_sample, toxicity, train
 from pointloom.session import feature_name, materialize, once, small, table
 
 PIXEL = ["tile_z", "tile_x", "tile_y", "local_x", "local_y"]
@@ -110,9 +113,63 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_items(rows, ["sample_id", "factor"], ["log10pval", "fold_change"], "gene", 20).select("sample_id", "factor", "gene")
 
 
+# ---------------------------------------------------------------- 8
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's (or, of long ones, each piece's) container of 4,096 tokens."""
+    return containers(table(spark, sf_dir, "documents"), capacity=4096)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of room used, by how many pieces share a container."""
+    packed = materialize(p8_containers(spark, sf_dir)).where("container is not null")
+    each = packed.groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    out = each.groupBy("pieces").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+    return out.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * 4096), 6))
+
+
+# ---------------------------------------------------------------- 9
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in documents with the matching words and the character spans to remove."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_spans(spark, sf_dir).select("item_id", "doc_id")
+
+
+# ---------------------------------------------------------------- 10
+
+
+def _field(spark: SparkSession, sf_dir: str) -> Field:
+    return train(clean_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity(table(spark, sf_dir, "documents"), _field(spark, sf_dir))
+    return scores.where("score >= 0.5").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, and the character offsets of its passages."""
+    return toxicity(table(spark, sf_dir, "documents"), _field(spark, sf_dir))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, documents with a passage and their rate, by source."""
+    scores = materialize(toxicity(table(spark, sf_dir, "documents"), _field(spark, sf_dir)).select("doc_id", "score"))
+    by = table(spark, sf_dir, "documents").select("doc_id", "source").join(scores, "doc_id").groupBy("source")
+    out = by.agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("score") >= 0.5).cast("long")).alias("toxic_docs"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return out.withColumn("rate", F.round(F.col("toxic_docs") / F.col("docs"), 6))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_typical": p4_typical, "p5_found": p5_found, "p5_terms": p5_terms,
     "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 
 _PIXELS = """
