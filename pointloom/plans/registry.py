@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.plans import core
+from pointloom.plans import core, reference
 
-QUERIES = {**core.QUERIES}
-SQL = {**core.SQL}
+QUERIES = {**core.QUERIES, **reference.QUERIES}
+SQL = {**core.SQL, **reference.SQL}
