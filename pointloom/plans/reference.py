@@ -313,12 +313,17 @@ def nearest_anchor(spark, sf):
 
 # ---------------------------------------------------------------- annotation and merge
 
-_K = "k1, (k1 + 3) % 8 AS k2, (k1 + 5) % 8 AS k3"
+_K = "coalesce(k1, -1) AS k1, coalesce((k1 + 3) % 8, -1) AS k2, coalesce((k1 + 5) % 8, -1) AS k3"
 _PIX = "CAST(floor(x) AS BIGINT) AS px, CAST(floor(y) AS BIGINT) AS py"
 
 
 def _flat(df: DataFrame, *cols) -> DataFrame:
-    return df.select(*cols, *[F.get("kp", F.lit(i))["k"].cast("long").alias(f"k{i + 1}") for i in range(3)])
+    return df.select(*cols, *[_factor("kp", i).alias(f"k{i + 1}") for i in range(3)])
+
+
+def _factor(kp: str, i: int):
+    """Factor i of the pairs, -1 where there is none, as files have it."""
+    return F.coalesce(F.get(kp, F.lit(i))["k"], F.lit(-1)).cast("long")
 
 
 @query(_ANNO + f"SELECT point_id, px, py, {_K} FROM (SELECT *, {_PIX} FROM p) JOIN q USING (sample_id, px, py)")
@@ -354,10 +359,10 @@ def annotate_3d(spark, sf):
 def _merged(spark, sf, keep):
     p = points(spark, sf)
     m = J.merge(annotation(p), [(coarse(p), 2)], ["sample_id"], keep, [2, 1], ["a", "b"])
-    return m.select("sample_id", "px", "py", F.get("kp_a", F.lit(0))["k"].cast("long").alias("a1"), F.get("kp_a", F.lit(1))["k"].cast("long").alias("a2"), F.get("kp_b", F.lit(0))["k"].cast("long").alias("b1"))
+    return m.select("sample_id", "px", "py", _factor("kp_a", 0).alias("a1"), _factor("kp_a", 1).alias("a2"), _factor("kp_b", 0).alias("b1"))
 
 
-_MERGED = "q.k1 AS a1, (q.k1 + 3) % 8 AS a2, cq.k1 AS b1"
+_MERGED = "coalesce(q.k1, -1) AS a1, coalesce((q.k1 + 3) % 8, -1) AS a2, coalesce(cq.k1, -1) AS b1"
 _ON = "ON cq.sample_id = q.sample_id AND cq.px = CAST(floor(q.px / 2.0) AS BIGINT) AND cq.py = CAST(floor(q.py / 2.0) AS BIGINT)"
 
 
@@ -372,7 +377,7 @@ def merge_keep_main(spark, sf):
 
 
 @query(_ANNO + _COARSE + """, l AS (SELECT sample_id, px, py FROM q UNION SELECT sample_id, px * 2, py * 2 FROM cq)
-SELECT l.sample_id, l.px, l.py, q.k1 AS a1, (q.k1 + 3) % 8 AS a2, cq.k1 AS b1 FROM l LEFT JOIN q USING (sample_id, px, py)
+SELECT l.sample_id, l.px, l.py, coalesce(q.k1, -1) AS a1, coalesce((q.k1 + 3) % 8, -1) AS a2, coalesce(cq.k1, -1) AS b1 FROM l LEFT JOIN q USING (sample_id, px, py)
 LEFT JOIN cq ON cq.sample_id = l.sample_id AND cq.px = CAST(floor(l.px / 2.0) AS BIGINT) AND cq.py = CAST(floor(l.py / 2.0) AS BIGINT)""")
 def merge_keep_all(spark, sf):
     return _merged(spark, sf, "all")
@@ -383,7 +388,7 @@ SELECT point_id, a1, b1 FROM (SELECT *, {_PIX} FROM p) JOIN m USING (sample_id,
 def merge_annotate(spark, sf):
     p = points(spark, sf)
     m = J.annotate_merged(p, annotation(p), [(coarse(p), 2)], RES, ["sample_id"])
-    return m.select("point_id", F.get("kp_0", F.lit(0))["k"].cast("long").alias("a1"), F.get("kp_1", F.lit(0))["k"].cast("long").alias("b1"))
+    return m.select("point_id", _factor("kp_0", 0).alias("a1"), _factor("kp_1", 0).alias("b1"))
 
 
 # ---------------------------------------------------------------- factor sums
@@ -578,10 +583,10 @@ f AS (SELECT factor, feature, sum(CASE WHEN g = 0 THEN y ELSE 0 END) AS Y0, sum(
       sum(CASE WHEN g = 0 THEN y * n ELSE 0 END) AS B0, sum(CASE WHEN g = 1 THEN y * n ELSE 0 END) AS B1 FROM d JOIN t USING (factor, unit_id, g) GROUP BY ALL),
 x AS (SELECT *, greatest((Y0 + Y1) / (N0 + N1) * 0.001, least(1 - 1e-8, Y0 / N0)) AS p0, greatest((Y0 + Y1) / (N0 + N1) * 0.001, least(1 - 1e-8, Y1 / N1)) AS p1 FROM f JOIN s USING (factor)),
 v AS (SELECT *, (A0 - 2 * p0 * B0 + p0 * p0 * C0) / ((N0 * p0 * (1 - p0)) ** 2) + (A1 - 2 * p1 * B1 + p1 * p1 * C1) / ((N1 * p1 * (1 - p1)) ** 2) AS v FROM x)
-SELECT factor, feature, round(p0, 8) AS pi0, round(p1, 8) AS pi1, round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4) AS beta, round(sqrt(v * m / (m - 2)), 4) AS se FROM v""")
+SELECT factor, feature, round(p0, 5) AS pi0, round(p1, 5) AS pi1, round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4) AS beta, round(sqrt(v * m / (m - 2)), 4) AS se FROM v""")
 def binomial_sandwich(spark, sf):
     t = E.binomial_sandwich(_design(spark, sf), min_unit=5)
-    return t.select("factor", "feature", F.round("pi0", 8).alias("pi0"), F.round("pi1", 8).alias("pi1"), F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"))
+    return t.select("factor", "feature", F.round("pi0", 5).alias("pi0"), F.round("pi1", 5).alias("pi1"), F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"))
 
 
 @query()
