@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.plans import core, reference
+from pointloom.plans import core, rasters, reference  # noqa: F401  (rasters registers itself in reference)
 
 QUERIES = {**core.QUERIES, **reference.QUERIES}
 SQL = {**core.SQL, **reference.SQL}
