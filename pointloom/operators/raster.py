@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.graph import components as linked
+from pointloom.operators.groups import apply_groups
 from pointloom.session import materialize, small
 
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
@@ -115,7 +116,7 @@ def label_components(raster: DataFrame, tile: int = 256, by: list[str] = ()) ->
         return pdf
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], f"px {kinds['px']}, py {kinds['py']}, label {kinds['label']}, tx bigint, ty bigint, piece bigint"])
-    pieces = materialize(t.groupBy(*by, "tx", "ty").applyInPandas(local, schema))
+    pieces = materialize(apply_groups(t, [*by, "tx", "ty"], local, schema))
     last = tile - 1
     border = pieces.where((F.pmod("px", F.lit(tile)) == last) | (F.pmod("py", F.lit(tile)) == last))
     seam = border.withColumn("m", _moves([(1, 0), (0, 1)])).select(*by, (F.col("px") + F.col("m.dx")).alias("px"), (F.col("py") + F.col("m.dy")).alias("py"), "label", F.col("piece").alias("a"), F.col("tx").alias("sx"), F.col("ty").alias("sy"))
@@ -201,7 +202,7 @@ def window_sums(pixels: DataFrame, value: str, radius: int, tile: int = 256, by:
         return pdf[own][[*names, "px", "py", "v"]].assign(window=w)
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], f"px {kinds['px']}, py {kinds['py']}, v double, window double"])
-    return t.groupBy(*by, "tx", "ty").applyInPandas(run, schema)
+    return apply_groups(t, [*by, "tx", "ty"], run, schema)
 
 
 def soft_mask(anno: DataFrame, focal: int, radius: int, share: float, least_mass: float = 1.0, least_p: float = 0.0, tile: int = 256, by: list[str] = ()) -> DataFrame:
@@ -278,4 +279,4 @@ def outlines(components: DataFrame, by: list[str] = ()) -> DataFrame:
         return pd.DataFrame(rings)
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], f"component bigint, label {kinds['label']}, ring array<array<double>>, area double"])
-    return sides.groupBy(*key).applyInPandas(trace, schema)
+    return apply_groups(sides, key, trace, schema)

@@ -78,7 +78,7 @@ def shells(spark, sf):
 w AS (SELECT a.sample_id, a.px, a.py, sum(b.own) AS w, sum(b.t) AS t FROM o a JOIN o b ON a.sample_id = b.sample_id AND b.px BETWEEN a.px - 2 AND a.px + 2 AND b.py BETWEEN a.py - 2 AND a.py + 2 GROUP BY ALL)
 SELECT * FROM w WHERE t >= 1.0 AND w >= 0.3 * t""")
 def soft_mask(spark, sf):
-    return G.soft_mask(annotation(points(spark, sf)), 2, 2, 0.3, tile=TILE, by=["sample_id"])
+    return G.soft_mask(annotation(points(spark, sf)), 2, 2, 0.3, by=["sample_id"])
 
 
 @query(_ANNO + """, o AS (SELECT sample_id, px, py, sum(CASE WHEN k = 2 THEN p ELSE 0 END) AS own, sum(p) AS t FROM e GROUP BY ALL),
@@ -87,7 +87,7 @@ m AS (SELECT * FROM w WHERE t >= 1.0 AND w >= 0.3 * t)
 SELECT 2 AS focal, CAST(k AS INTEGER) AS k, sum(p) AS mass FROM e JOIN m USING (sample_id, px, py) GROUP BY ALL UNION ALL SELECT -1, CAST(k AS INTEGER), sum(p) FROM e GROUP BY ALL""")
 def mask_composition(spark, sf):
     a = annotation(points(spark, sf))
-    m = G.soft_mask(a, 2, 2, 0.3, tile=TILE, by=["sample_id"]).withColumn("focal", F.lit(2))
+    m = G.soft_mask(a, 2, 2, 0.3, by=["sample_id"]).withColumn("focal", F.lit(2))
     return G.mask_composition(a, m, ["sample_id"])
 
 
