@@ -65,7 +65,7 @@ def occurrence(units: DataFrame, unit: list[str], n_units: int, feature: str = "
     return t.join(above, feature, "left").fillna(0, ["n_units_count_gt_mean"])
 
 
-def feature_weights(stats: DataFrame, n_units: int, q: float = 0.95, power: float = 1.0, low: float = 0.1, high: float = 1.0, cap: float = 5.0) -> DataFrame:
+def feature_weights(stats: DataFrame, n_units: int, q: float = 0.95, power: float = 0.3, low: float = 0.1, high: float = 1.0, cap: float = 5.0) -> DataFrame:
     """``stats`` with ``idf`` and ``info_weight``.
 
     idf: ``ln(N / (1 + df))``, at least 0, over its q-th percentile, at most 1, to

@@ -254,7 +254,7 @@ def _unit_totals(spark, sf):
 s AS (SELECT feature, sum(ct) AS t, count(*) AS df FROM u GROUP BY feature),
 r AS (SELECT *, greatest(0, ln(n / (1.0 + df))) AS r, log2((SELECT sum(t) FROM s) / t) AS bits FROM s, n),
 w AS (SELECT quantile_cont(r, 0.95) AS q, sum(t * bits) / sum(t) AS mean FROM r)
-SELECT feature, round(0.1 + 0.9 * least(1, r / q), 6) AS idf, round(least(5.0, bits / mean), 6) AS info_weight FROM r, w""")
+SELECT feature, round(0.1 + 0.9 * least(1, r / q) ** 0.3, 6) AS idf, round(least(5.0, bits / mean), 6) AS info_weight FROM r, w""")
 def feature_weights(spark, sf):
     u = _unit_totals(spark, sf)
     n = u.select("unit_id").distinct().count()
