@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.runs import column, expand, sized, slabs
+from pointloom.operators.groups import apply_groups
 from pointloom.session import materialize, small
 
 #: Odd factor of the multiplicative hash that gives a component its slot; with a power of two as ``dims`` no two of the first ``dims`` collide.
@@ -252,7 +253,7 @@ def mutual_clusters(data: DataFrame, centres: np.ndarray, dims: int, cosine: flo
                 out.append(summed((sim & ~a.fringe.to_numpy()[s][:, None]).T & b.home.to_numpy()[:, None], ib, ia[s], ha[s]))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n": [], "m": [], "hs": []})
 
-    tested = left.select(cols).unionByName(right.select(cols)).groupBy("cell", "i", "j").applyInPandas(compare, f"id {kind}, n long, m {kind}, hs long")
+    tested = apply_groups(left.select(cols).unionByName(right.select(cols)), ["cell", "i", "j"], compare, f"id {kind}, n long, m {kind}, hs long")
     per = sure.unionByName(tested).groupBy("id").agg(F.sum("n").alias("n"), F.min("m").alias("m"), F.sum("hs").alias("hs"))
     per = materialize(per.where(F.col("n") >= least))
     groups = per.groupBy("m", "n", "hs").agg(F.count(F.lit(1)).alias("c")).where("c = n").drop("c")

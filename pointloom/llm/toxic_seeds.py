@@ -230,4 +230,26 @@ couples of electrodes are having the same size
 the girls and boys were tested at night
 pictures of the bare wafer are sent to the server
 click the button to open the video
+if you turn the knob you will see the W move
+you can adjust the W by hand and you may stop it at any time
+when you open the lid you will find a W inside
+please tell us if you need more time and we will extend the term
+you are invited to comment on the report within two months
+do you agree that the W is known from document one
+what you see in figure W is the cover of the pump
+thank you for your letter, we will answer it soon
+we ask you to pay the fee so that the file is complete
+you have the right to be heard before the office decides
+as you know the term ends next week and you should reply
+the system asks the user: are you sure you want to stop the W
+you must not open the housing while the W is hot
+I hope that you will find the amended claims acceptable
+I am going to file the new drawings and I will send you a copy
+she entered the laboratory and he opened the W
+he pushed the lever until the W came to rest
+Sie können den Deckel öffnen und die W entnehmen
+vous pouvez ouvrir le couvercle et retirer le W
+usted puede abrir la tapa y sacar el W
+you hear a sound as soon as you press the key
+your device will start and you will get a message
 """.strip().splitlines()
