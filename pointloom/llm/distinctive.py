@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.session import small
+from pointloom.session import materialize, small
 
 
 def term_scores(rows: DataFrame, record: str, term: str, amount: str, row_id: str | None = None, mu: float = 100.0, min_records: int = 1) -> DataFrame:
@@ -32,7 +32,7 @@ def term_scores(rows: DataFrame, record: str, term: str, amount: str, row_id: st
     t = t.withColumn("lone", F.when(F.col("i").isNull(), F.monotonically_increasing_id()))
     # one exchange serves both aggregations, as their keys contain the partitioning's
     t = t.repartition("record", "term").groupBy("record", "term", "i", "lone").agg(F.max("n").alias("n"))
-    tf = t.groupBy("record", "term").agg(F.sum("n").alias("tf")).where("tf > 0")
+    tf = materialize(t.groupBy("record", "term").agg(F.sum("n").alias("tf")).where("tf > 0"))  # read three times below
     sizes = tf.groupBy("record").agg(F.sum("tf").alias("record_total"))
     terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("records"), F.sum("tf").alias("term_total"))
     whole = terms.agg(F.sum("term_total")).first()[0] or 0
