@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FIXED = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz"}
+_WRITTEN: list[str] = []
+
 #: Rows up to which a lookup table is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -43,11 +46,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, *partition: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/pointloom-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.partitionBy(*partition) if partition else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the tables ``materialize`` wrote in this process, once no result that reads them is needed; returns how many."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else unmarked (the join then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -65,16 +78,19 @@ def once(df: DataFrame, keys: list[str], version: str = "recv_ts") -> DataFrame:
     taking the first by ``version`` keeps the result the same in every run.
     """
     rest = [c for c in df.columns if c not in keys]
-    known = df
     lone = F.lit(False)
     for k in keys:
         lone = lone | F.col(k).isNull()
-    known = df.withColumn("__lone", F.when(lone, F.monotonically_increasing_id()))
-    if rest == [version] or not rest:
-        return known.groupBy(*keys, "__lone").agg(*[F.min(c).alias(c) for c in rest] or [F.count(F.lit(1)).alias("__n")]).select(*df.columns)
+    groups = df.withColumn("__lone", F.when(lone, F.monotonically_increasing_id())).groupBy(*keys, "__lone")
+    kinds = dict(df.dtypes)
+    if version in rest and all(kinds[c] in _FIXED for c in rest):
+        # buffers of fixed width: Spark aggregates by hash
+        return groups.agg(*[F.min(c).alias(c) if c == version else F.min_by(c, version).alias(c) for c in rest]).select(*df.columns)
+    if not rest:
+        return groups.agg(F.count(F.lit(1))).select(*df.columns)
     order = [version] if version in rest else []
-    packed = F.min(F.struct(*order, *[c for c in rest if c not in order])) if order else F.min(F.struct(*rest))
-    return known.groupBy(*keys, "__lone").agg(packed.alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*df.columns)
+    packed = F.min(F.struct(*order, *[c for c in rest if c not in order]))
+    return groups.agg(packed.alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def feature_name(col):

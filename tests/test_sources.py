@@ -92,3 +92,31 @@ def test_streams(spark, tmp_path):
     w = ingest.stream_points(spark, str(src), df.schema.simpleString()[7:-1].replace(":", " "))
     ingest.each_batch(w, str(tmp_path / "ck2"), lambda b, i: seen.append(b.count())).awaitTermination(60)
     assert sum(seen) == 3
+
+
+def test_polygon_tiles_and_export(spark, tmp_path):
+    from pointloom.sources import maptiles
+
+    ring = [(-1e6, -1e6), (1.5e6, -1e6), (1.5e6, 1.2e6), (-1e6, 1.2e6)]
+    df = spark.createDataFrame([("a", ring), ("flat", [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]), ("none", None)], "name string, ring array<struct<x double, y double>>")
+    tiles = maptiles.polygon_tiles(df, 2, "shapes", ["name"]).collect()
+    assert {(t.x, t.y) for t in tiles} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    scale, total = 4096 * 4 / (2 * 20037508.342789244), 0.0
+    for t in tiles:
+        for _, kind, (part,), props, extent in maptiles.decode_tile(bytes(t["data"])):
+            assert kind == 3 and props == {"name": "a"} and extent == 4096
+            cut = maptiles.clip([(float(x), float(y)) for x, y in part], 0, 0, 4096, 4096)
+            total += sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(cut, cut[1:] + cut[:1])) / 2
+    assert abs(total / (2.5e6 * 2.2e6 * scale**2) - 1) < 0.01
+    pts = spark.createDataFrame([(i, float(i * 1e5), float(-i * 1e5), f"f{i}", i, 0.5 * i) for i in range(30)], "point_id int, x double, y double, feature string, ct int, w double")
+    enc = tiled.point_tiles(pts, 6, "points", ["feature", "ct", "w"])
+    tiled.write_pmtiles(enc, str(tmp_path / "p.pmtiles"))
+    back = maptiles.export_tiles(maptiles.archive_table(spark, str(tmp_path / "p.pmtiles")), {"feature": "string", "ct": "bigint", "w": "double"}, 6).orderBy("ct").collect()
+    assert [(r.feature, r.ct, r.w) for r in back] == [(f"f{i}", i, 0.5 * i) for i in range(30)]
+    assert max(abs(r.x - i * 1e5) for i, r in enumerate(back)) < 200
+    for n in range(90):
+        maptiles.place(n)
+    small = maptiles.sized_pyramid(pts, 3, 0, "points", ["ct"], 5, 1000).collect()
+    assert {t.z for t in small} == {0, 1, 2, 3} and all(len(maptiles.decode_tile(bytes(t["data"]))) <= 6 for t in small if t.z == 0)
+    tiles = maptiles.tile_image(np.zeros((300, 500, 3), np.uint8), 1)
+    assert sorted((z, x, y) for z, x, y, _ in tiles) == [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)]
