@@ -163,6 +163,30 @@ def kmeans(data: DataFrame, k: int, dims: int, iterations: int = 4) -> np.ndarra
     return c
 
 
+def coalesced(data: DataFrame, centres: np.ndarray, dims: int, within: float) -> np.ndarray:
+    """Centres of which those linked by angles below ``within`` are one: the mean of all their rows.
+
+    A group of records that several centres share would be copied to each of
+    their cells; with one centre it is a core that needs no comparison.
+    """
+    if len(centres) < 2:
+        return centres
+    sums, n = assign_stats(data, centres, dims)
+    near = np.clip(centres @ centres.T, -1, 1) > math.cos(within)
+    group = np.arange(len(centres))
+    while True:  # each takes the least number among its neighbours'
+        low = np.where(near, group[None, :], len(centres)).min(1)
+        if (low == group).all():
+            break
+        group = low
+    out = []
+    for g in np.unique(group):
+        total = sums[group == g].sum(0)
+        size = np.linalg.norm(total)
+        out.append(total / size if n[group == g].sum() and size > 1e-12 else centres[g])
+    return np.array(out)
+
+
 def clusters(data: DataFrame, centres: np.ndarray, dims: int, typical: int = 3) -> DataFrame:
     """``cluster, size, rank, id, cosine``: each cluster's size and its ``typical`` members nearest the centre.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.clusters import clusters, hashed_vectors, kmeans, mutual_clusters
+from pointloom.llm.clusters import clusters, coalesced, hashed_vectors, kmeans, mutual_clusters
 from pointloom.llm.cooccurrence import pair_counts
 from pointloom.llm.distinctive import term_scores
 from pointloom.llm.leaks import leaked
@@ -56,7 +58,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _vectors(spark, sf_dir)
-    out = mutual_clusters(data, kmeans(data, CENTRES, DIMS), DIMS, 0.9, 3)
+    centres = coalesced(data, kmeans(data, CENTRES, DIMS), DIMS, math.acos(0.9) / 3)
+    out = mutual_clusters(data, centres, DIMS, 0.9, 3)
     return out.select("cluster_key", F.col("id").alias("unit_id"))
 
 

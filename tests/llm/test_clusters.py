@@ -47,8 +47,10 @@ def test_mutual_clusters_are_exact(spark, monkeypatch, side, seed, spread, k):
     rows += [("same1", rows[0][1], ""), ("same2", rows[0][1], ""), ("null", None, ""), ("short", [1.0], ""), ("zero", [0.0] * 8, ""), ("nan", [math.nan] + [1.0] * 7, ""), ("inf", [math.inf] + [1.0] * 7, ""), (None, [1.0] * 8, "")]
     rows += [("part", [None, 1.0] + [0.0] * 6, ""), ("tiny", [1e-30, 1e-30] + [0.0] * 6, "")]
     data = C.hashed_vectors(spark.createDataFrame(rows, UNITS), "unit_id", "dense", 8, 8).cache()
-    got = [tuple(r) for r in C.mutual_clusters(data, C.kmeans(data, k, 8), 8).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    centres = C.kmeans(data, k, 8)
+    for c in (centres, C.coalesced(data, centres, 8, 0.15)):
+        got = [tuple(r) for r in C.mutual_clusters(data, c, 8).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
 def test_hashing_keeps_cosines(spark):
