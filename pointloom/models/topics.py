@@ -294,3 +294,111 @@ def leave_one_out(docs: DataFrame, model: Topics, least: float = 0.05) -> np.nda
         return out
 
     return added(docs, stats, (k, 3))
+
+
+# ---------------------------------------------------------------- joint clusters, collapsed inference
+
+
+def fit_joint(docs: DataFrame, words: list[str], k: int, clusters: int, epochs: int = 3, seed: int = 0, c: float = 0.5) -> tuple[Topics, np.ndarray, np.ndarray]:
+    """Topics and clusters of documents at once: each cluster has its own prior over topics.
+
+    A document's posterior over clusters weighs their priors in its local fit; the
+    priors are refitted to the topic counts of the documents they own.  Returns the
+    topics, the clusters' priors (clusters x topics) and their weights.
+    """
+    m = len(words)
+    rng = np.random.default_rng(seed)
+    lam = fit_lda(docs, words, k, 1, seed=seed).weights
+    prior, weight = rng.dirichlet(np.full(k, 0.5), clusters) * k * c + 0.05, np.full(clusters, 1 / clusters)
+    for _ in range(epochs):
+        beta = np.exp(e_log(lam))
+
+        def stats(d: Docs, beta=beta, prior=prior, weight=weight) -> np.ndarray:
+            r, gamma, owner = local_joint(d, beta, prior, weight)
+            out = np.zeros((k + clusters, m + k + 1))
+            out[:k, :m] = expected(r, d.word, m)
+            theta = gamma / gamma.sum(1, keepdims=True)
+            out[k:, m : m + k] = owner.T @ theta
+            out[k:, m + k] = owner.sum(0)
+            return out
+
+        s = added(docs, stats, (k + clusters, m + k + 1))
+        lam = 1.0 / k + s[:k, :m]
+        n = np.maximum(s[k:, m + k], 1e-9)
+        prior = s[k:, m : m + k] / n[:, None] * k * c + 0.05
+        weight = n / n.sum()
+    return Topics(words, lam, prior.mean(0), "joint"), prior, weight
+
+
+def local_joint(d: Docs, beta: np.ndarray, prior: np.ndarray, weight: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    from pointloom.functions.stats import lgamma
+
+    owner = np.repeat(weight[None], len(d.ids), 0)
+    norm = lgamma(prior.sum(1)) - lgamma(prior).sum(1)
+    for _ in range(rounds):
+        alpha = owner @ prior
+        w = beta[:, d.word].T
+        gamma = alpha + d.totals()[:, None] / len(beta)
+        for _ in range(10):
+            r = np.exp(e_log(gamma))[d.doc] * w
+            r *= (d.n / np.maximum(r.sum(1), 1e-100))[:, None]
+            gamma = alpha + segments(r, d.doc, len(d.ids))
+        score = np.log(weight) + norm + e_log(gamma) @ (prior - 1).T
+        owner = np.exp(score - score.max(1, keepdims=True))
+        owner /= owner.sum(1, keepdims=True)
+    return r, gamma, owner
+
+
+def transform_joint(docs: DataFrame, model: Topics, prior: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """``id, theta, cluster, p`` of each document."""
+    beta = np.exp(e_log(model.weights))
+
+    def run(batches):
+        for b in batches:
+            d = read(b)
+            _, gamma, owner = local_joint(d, beta, prior, weight)
+            c = owner.argmax(1)
+            yield pa.RecordBatch.from_arrays([d.ids, pa.array(list(gamma / gamma.sum(1, keepdims=True))), pa.array(c.astype(np.int32)), pa.array(owner[np.arange(len(c)), c])], ["id", "theta", "cluster", "p"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, theta array<double>, cluster int, p double")
+
+
+def local_collapsed(d: Docs, share: np.ndarray, alpha: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Zeroth-order collapsed inference: the share of topics in a count leaves the count itself out of the document's."""
+    n, k = len(d.ids), len(alpha)
+    w = share[:, d.word].T
+    r = w * (d.n / np.maximum(w.sum(1), 1e-100))[:, None]
+    for _ in range(rounds):
+        total = segments(r, d.doc, n)
+        new = np.maximum(total[d.doc] - r / np.maximum(d.n, 1)[:, None], 0) + alpha
+        new = new * w
+        new *= (d.n / np.maximum(new.sum(1), 1e-100))[:, None]
+        done = np.abs(new - r).sum() < 1e-3 * d.n.sum()
+        r = new
+        if done:
+            break
+    return segments(r, d.doc, n) + alpha, r
+
+
+def fit_collapsed(docs: DataFrame, words: list[str], k: int, epochs: int = 4, batches: int = 2, seed: int = 0, kappa: float = 0.6, tau: float = 1.0) -> Topics:
+    """LDA by stochastic zeroth-order collapsed inference (SCVB0), a share of the documents a step."""
+    m, rng = len(words), np.random.default_rng(seed)
+    lam, total, step = rng.gamma(1.0, 1.0, (k, m)), docs.count(), 0
+    alpha = np.full(k, 1.0 / k)
+    for _ in range(epochs):
+        for b in range(batches):
+            part = docs.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(batches)) == b)
+            share = (lam + 0.01) / (lam + 0.01).sum(1, keepdims=True)
+
+            def stats(d: Docs, share=share) -> np.ndarray:
+                out = np.zeros((k, m + 1))
+                out[:, :m] = expected(local_collapsed(d, share, alpha)[1], d.word, m)
+                out[0, m] = len(d.ids)
+                return out
+
+            s = added(part, stats, (k, m + 1))
+            if s[0, m]:
+                rho = (tau + step) ** -kappa if step else 1.0
+                lam = (1 - rho) * lam + rho * total / s[0, m] * s[:, :m]
+                step += 1
+    return Topics(words, lam + 0.01, alpha, "scvb0")

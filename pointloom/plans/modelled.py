@@ -79,6 +79,27 @@ def gamma_poisson_clusters(spark, sf):
     return M.gaussian_clusters(share, 4, K)[1]
 
 
+@query()
+def joint_clusters(spark, sf):
+    docs, words = _docs(spark, sf)
+    return T.transform_joint(docs, *T.fit_joint(docs, words, K, 4))
+
+
+@query()
+def collapsed_lda_fit(spark, sf):
+    docs, words = _docs(spark, sf)
+    return _matrix(spark, T.fit_collapsed(docs, words, K).by_abundance().share, words)
+
+
+@query()
+def background_lda_transform(spark, sf):
+    """LDA with the overall distribution of features as a fixed last topic."""
+    docs, words = _docs(spark, sf)
+    total = units(spark, sf).groupBy("feature").agg(F.sum("ct").alias("t")).toPandas().set_index("feature").t
+    share = np.array([float(total.get(w, 0)) for w in words])
+    return T.transform(docs, T.fit_lda(docs, words, K, background=share / share.sum()))
+
+
 @query()
 def nmf_transform(spark, sf):
     docs, words = _docs(spark, sf)

@@ -58,18 +58,33 @@ def label_contacts(spark, sf):
     return two.select("sample_id", "l1", "l2", "contact", *[F.round(c, 6).alias(c) for c in ("frac1", "frac2", "frac0", "density")])
 
 
-@query()
+_FIRST = "(ra.py + 1073741824) * 2147483648 + ra.px + 1073741824"
+_CC = "RECURSIVE " + _R + f""", w AS (SELECT sample_id, px, py, label, {_FIRST} AS c FROM ra
+  UNION SELECT ra.sample_id, ra.px, ra.py, ra.label, w.c FROM w JOIN ra ON ra.sample_id = w.sample_id AND ra.label = w.label AND abs(ra.px - w.px) + abs(ra.py - w.py) = 1 AND w.c < {_FIRST}),
+cc AS (SELECT sample_id, px, py, label, min(c) AS component FROM w GROUP BY ALL),
+cs AS (SELECT sample_id, label, component, count(*) AS size FROM cc GROUP BY ALL)
+"""
+
+
+@query(_CC + "SELECT sample_id, CAST(label AS INTEGER) AS label, component, size FROM cs")
 def label_components(spark, sf):
     c = G.label_components(_raster(spark, sf), TILE, ["sample_id"])
     return c.groupBy("sample_id", "label", "component").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query()
+@query(_CC + "SELECT sample_id, CAST(label AS INTEGER) AS label, size, count(*) AS n FROM cs WHERE size >= 2 GROUP BY ALL")
 def component_sizes(spark, sf):
     return G.hard_masks(_raster(spark, sf), 2, TILE, ["sample_id"])[1]
 
 
-@query()
+def _ring(i: int) -> str:
+    """Pixels reached at step i and not before, in SQL."""
+    new = " ".join(f"AND NOT EXISTS (FROM f{j} b WHERE b.sample_id = ra.sample_id AND b.px = ra.px AND b.py = ra.py AND b.seed = f.seed)" for j in range(1, i))
+    return f", f{i} AS (SELECT DISTINCT ra.sample_id, ra.px, ra.py, f.seed, ra.label AS other, {i} AS d FROM f{i - 1} f JOIN ra ON ra.sample_id = f.sample_id AND abs(ra.px - f.px) + abs(ra.py - f.py) = 1 WHERE ra.label <> f.seed {new})"
+
+
+@query(_CC + ", f0 AS (SELECT sample_id, px, py, label AS seed FROM cc SEMI JOIN (FROM cs WHERE size >= 2) USING (sample_id, label, component))" + _ring(1) + _ring(2) + _ring(3)
+       + " SELECT sample_id, CAST(seed AS INTEGER) AS label, CAST(other AS INTEGER) AS other, d, count(*) AS n FROM (FROM f1 UNION ALL FROM f2 UNION ALL FROM f3) GROUP BY ALL")
 def shells(spark, sf):
     return G.shells(_raster(spark, sf), 3, 2, TILE, ["sample_id"])
 
@@ -97,7 +112,8 @@ def mask_dilated(spark, sf):
     return G.grown(_raster(spark, sf).where("label = 1"), 1, ["sample_id"])
 
 
-@query()
+@query(_CC + "SELECT sample_id, CAST(label AS INTEGER) AS label, component, CAST(size AS DOUBLE) AS area FROM cs")
 def mask_outlines(spark, sf):
+    """The area within each component's rings, holes taken off."""
     c = G.label_components(_raster(spark, sf), TILE, ["sample_id"])
-    return G.outlines(c, ["sample_id"])
+    return G.outlines(c, ["sample_id"]).groupBy("sample_id", "label", "component").agg(F.sum("area").alias("area"))

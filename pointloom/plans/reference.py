@@ -34,7 +34,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = "WITH " + _P + sql.strip() if sql.lstrip().startswith(",") or sql.lstrip().upper().startswith("SELECT") else sql
+            SQL[f.__name__] = "WITH RECURSIVE " + _P + sql[len("RECURSIVE") :] if sql.startswith("RECURSIVE") else "WITH " + _P + sql.strip()
         return f
 
     return add

@@ -85,3 +85,17 @@ def test_markers_and_nmf(spark):
     assert beta.shape == (3, 30) and (beta >= 0).all()
     rows = mixtures.transform_nmf(docs, beta).collect()
     assert all(r.deviance >= -1e-6 for r in rows)
+
+
+def test_joint_and_collapsed(spark):
+    units, label = planted(spark)
+    words = vocabulary(units)
+    docs = documents(units, words).cache()
+    rows = topics.transform_joint(docs, *topics.fit_joint(docs, words, 3, 3)).orderBy("id").collect()
+    assert purity(np.array([int(np.argmax(r.theta)) for r in rows]), label) > 0.85
+    assert {r.cluster for r in rows} <= {0, 1, 2} and all(0 < r.p <= 1 + 1e-9 for r in rows)
+    m = topics.fit_collapsed(docs, words, 3)
+    best = topics.transform(docs, m).orderBy("id").collect()
+    assert purity(np.array([r.ks[0] for r in best]), label) > 0.85
+    flat = topics.fit_lda(docs, words, 3, background=np.full(30, 1 / 30))
+    assert all(len(r.theta) == 4 for r in topics.transform(docs, flat).limit(3).collect())
