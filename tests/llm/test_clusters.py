@@ -38,8 +38,7 @@ def planted(seed, spread):
     return rows
 
 
-@pytest.mark.parametrize("side", [C.SIDE, 4])
-@pytest.mark.parametrize("seed,spread,k", [(0, 0.03, 5), (1, 0.12, 3), (2, 0.08, 30), (3, 0.3, 1)])
+@pytest.mark.parametrize("seed,spread,k,side", [(0, 0.03, 5, C.SIDE), (1, 0.12, 3, 4), (2, 0.08, 30, C.SIDE), (3, 0.3, 1, 4)])
 def test_mutual_clusters_are_exact(spark, monkeypatch, side, seed, spread, k):
     monkeypatch.setattr(C, "SIDE", side)
     rows = planted(seed, spread)
