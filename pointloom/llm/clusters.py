@@ -208,14 +208,16 @@ def mutual_clusters(data: DataFrame, centres: np.ndarray, dims: int, cosine: flo
     """``cluster_key, id``: members of groups of at least ``least`` rows, all similar to each other and to no row outside.
 
     Similar is a cosine of at least ``cosine``; the key is the smallest id.  Exact
-    for any centres.  A row is filed under its nearest centre (home) and copied to
-    every other cell that can hold a similar row, by its distance from the
-    bisector and from the cell's members.  Two rows whose angles to the centre add
-    up to at most the limit are similar without a test, so a cell's core (angle up
-    to half the limit) is summed up by plain aggregation however large it is;
-    only rows outside the core are compared, in blocks of ``SIDE`` rows.  Each row
-    gets number, smallest id and hash sum of the rows similar to it, and a cluster
-    is a set of rows that agree in all three and are as many as the number says.
+    for any centres.  A row is filed under its nearest centre (home).  Rows of two
+    cells are compared in the home of the one nearer its own centre, so a row only
+    visits cells that can hold such a similar row, by its distance from the bisector
+    and from the cell's members; rows near their centre visit hardly any.  Two rows
+    whose angles to the centre add up to at most the limit are similar without a
+    test, so a cell's core (angle up to half the limit) is summed up by plain
+    aggregation however large it is; only rows outside it and visitors are compared
+    with the cell, in blocks of ``SIDE`` rows.  Each row gets number, smallest id and
+    hash sum of the rows similar to it, and a cluster is a set of rows that agree in
+    all three and are as many as the number says.
     """
     limit = math.acos(cosine)
     k = len(centres)
@@ -245,25 +247,26 @@ def mutual_clusters(data: DataFrame, centres: np.ndarray, dims: int, cosine: flo
             mine = d2[np.arange(len(x)), home][:, None]
             with np.errstate(all="ignore"):
                 off = (d2 - mine) / (2 * between[home])
-            to = (a <= limit + width[None, :] + 1e-9) & ~(off > reach)
+            own = angle(x, centres[home])
+            to = (a <= limit + np.minimum(width[None, :], own[:, None]) + 1e-9) & ~(off > reach)
             to[np.arange(len(x)), home] = True
             row, cell = np.nonzero(to)
-            near = angle(x[row], centres[cell])
+            at_home = home[row] == cell
             yield pa.RecordBatch.from_arrays(
-                [column(t, "id").take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), pa.array(near > limit / 2 - 1e-9), vectors(x[row])],
-                ["id", "cell", "home", "fringe", "vec"],
+                [column(t, "id").take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(at_home), pa.array(~at_home | (own[row] > limit / 2 - 1e-9)), pa.array(own[row]), vectors(x[row])],
+                ["id", "cell", "home", "fringe", "own", "vec"],
             )
 
-    filed = materialize(data.mapInArrow(file, f"id {kind}, cell int, home boolean, fringe boolean, vec array<double>").withColumn("h", F.shiftright(F.xxhash64("id"), 20)))
+    filed = materialize(data.mapInArrow(file, f"id {kind}, cell int, home boolean, fringe boolean, own double, vec array<double>").withColumn("h", F.shiftright(F.xxhash64("id"), 20)))
     core = filed.where("not fringe").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("m"), F.sum("h").alias("hs"))
-    sure = filed.where("home and not fringe").select("id", "cell").join(F.broadcast(core), "cell").select("id", "n", "m", "hs")  # k rows
+    sure = filed.where("not fringe").select("id", "cell").join(F.broadcast(core), "cell").select("id", "n", "m", "hs")  # k rows
 
-    parts = filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("np"), F.ceil(F.sum(F.col("fringe").cast("int")) / SIDE).cast("int").alias("nf")).where("nf > 0")
+    parts = filed.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / SIDE).cast("int").alias("np"), F.ceil(F.sum(F.col("fringe").cast("int")) / SIDE).cast("int").alias("nf")).where("nf > 0 and np > 0")
     cut = filed.join(F.broadcast(parts), "cell")  # k rows
     mark = F.xxhash64("id", F.lit(1))
-    left = cut.withColumns({"i": F.pmod(mark, F.col("np")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("nf") - 1)), "left": F.lit(True)})
+    left = cut.where("home").withColumns({"i": F.pmod(mark, F.col("np")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("nf") - 1)), "left": F.lit(True)})
     right = cut.where("fringe").withColumns({"j": F.pmod(mark, F.col("nf")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("np") - 1)), "left": F.lit(False)})
-    cols = ["cell", "i", "j", "left", "home", "fringe", "id", "h", "vec"]
+    cols = ["cell", "i", "j", "left", "home", "fringe", "own", "id", "h", "vec"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.left].sort_values("id"), pdf[~pdf.left].sort_values("id")
@@ -271,10 +274,14 @@ def mutual_clusters(data: DataFrame, centres: np.ndarray, dims: int, cosine: flo
         if len(a) and len(b):
             xa, xb = np.stack(a.vec.to_numpy()), np.stack(b.vec.to_numpy())
             ia, ib, ha, hb = a.id.to_numpy(), b.id.to_numpy(), a.h.to_numpy(), b.h.to_numpy()
-            for s in slabs(np.full(len(a), len(b)), 4_000_000):
+            oa, ob, inner, guest = a.own.to_numpy(), b.own.to_numpy(), ~a.fringe.to_numpy(), ~b.home.to_numpy()
+            for s in slabs(np.full(len(a), len(b)), 2_000_000):
                 sim = xa[s] @ xb.T >= cosine
-                out.append(summed(sim & a.home.to_numpy()[s][:, None], ia[s], ib, hb))
-                out.append(summed((sim & ~a.fringe.to_numpy()[s][:, None]).T & b.home.to_numpy()[:, None], ib, ia[s], ha[s]))
+                # of a home row and a guest, this is the home of the one nearer its centre, or of the smaller id
+                first = (oa[s][:, None] < ob) | ((oa[s][:, None] == ob) & (ia[s][:, None] < ib))
+                mine = sim & (~guest | first)
+                out.append(summed(mine, ia[s], ib, hb))
+                out.append(summed((mine & (guest | inner[s][:, None])).T, ib, ia[s], ha[s]))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n": [], "m": [], "hs": []})
 
     tested = apply_groups(left.select(cols).unionByName(right.select(cols)), ["cell", "i", "j"], compare, f"id {kind}, n long, m {kind}, hs long")
