@@ -217,10 +217,15 @@ def recover(q: np.ndarray, anchors: list[int], rounds: int = 200) -> np.ndarray:
 
 def matrix_of(cooc: DataFrame, names: list[str], one: str = "f1", two: str = "f2", value: str = "weight") -> np.ndarray:
     """A dense feature by feature matrix, for as many features as a model has."""
-    at = {n: i for i, n in enumerate(names)}
     q = np.zeros((len(names), len(names)))
-    known = cooc.sparkSession.createDataFrame([(n,) for n in names], "n string")
-    t = cooc.join(small(known), F.col(one) == F.col("n")).drop("n").join(small(known), F.col(two) == F.col("n"))
-    for a, b, v in t.select(one, two, value).toLocalIterator():
-        q[at[a], at[b]] += v
+    known = small(cooc.sparkSession.createDataFrame(list(enumerate(names)), "i int, n string"))
+    t = cooc.join(known.withColumnRenamed("i", "__i"), F.col(one) == F.col("n")).drop("n").join(known.withColumnRenamed("i", "__j"), F.col(two) == F.col("n"))
+
+    def packed(batches):
+        for b in batches:
+            i, j, v = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (i.astype(np.int32), j.astype(np.int32), v.astype(np.float64))], ["i", "j", "v"])
+
+    for r in t.select("__i", "__j", F.col(value).cast("double")).mapInArrow(packed, "i binary, j binary, v binary").toLocalIterator():
+        np.add.at(q, (np.frombuffer(r.i, np.int32), np.frombuffer(r.j, np.int32)), np.frombuffer(r.v))
     return q

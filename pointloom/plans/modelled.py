@@ -15,6 +15,8 @@ from pointloom.plans.reference import points, query, units
 from pointloom.session import materialize
 
 K = 6
+#: Total that a feature must exceed to be an anchor.
+ANCHOR_COUNT = 1
 
 
 def _docs(spark, sf):
@@ -124,12 +126,13 @@ def negative_binomial_mixture_de(spark, sf):
 
 @query()
 def anchor_markers(spark, sf):
+    """All features are in the matrix; an anchor has a total above ``ANCHOR_COUNT``, as in the reference."""
     p = points(spark, sf)
-    top = [r[0] for r in p.groupBy("feature").agg(F.sum("ct").alias("t")).orderBy(F.desc("t"), "feature").limit(200).collect()]
-    q = M.matrix_of(cooccurrence(p, 3.0, ["sample_id"]), top)
-    anchors = M.anchor_features(q, 5)
-    b = M.recover(q, anchors)
-    return _matrix(spark, b.T, top, "factor")
+    total = {r[0]: r[1] for r in p.groupBy("feature").agg(F.sum("ct").alias("t")).collect()}
+    words = sorted(total)
+    q = M.matrix_of(cooccurrence(p, 3.0, ["sample_id"]), words)
+    anchors = M.anchor_features(q, 5, np.array([total[w] > ANCHOR_COUNT for w in words], bool))
+    return _matrix(spark, M.recover(q, anchors).T, words, "factor")
 
 
 @query()

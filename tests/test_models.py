@@ -99,3 +99,18 @@ def test_joint_and_collapsed(spark):
     assert purity(np.array([r.ks[0] for r in best]), label) > 0.85
     flat = topics.fit_lda(docs, words, 3, background=np.full(30, 1 / 30))
     assert all(len(r.theta) == 4 for r in topics.transform(docs, flat).limit(3).collect())
+
+
+def test_anchor_markers_take_all_features(spark, monkeypatch):
+    """More features than any fixed number of rows; a rare one that stands alone is an anchor, one seen once is in the matrix only."""
+    from pointloom.plans import modelled
+
+    rows = [(i, "s", 10.0 * (i // 2), 0.0, f"f{i % 260:03d}", 2) for i in range(520)]
+    rows += [(1000, "s", -50.0, 0.0, "alone", 2), (1001, "s", -90.0, 0.0, "once", 1)]
+    p = spark.createDataFrame(rows, "point_id long, sample_id string, x double, y double, feature string, ct long")
+    monkeypatch.setattr(modelled, "points", lambda *_: p)
+    got = modelled.anchor_markers(spark, "").toPandas()
+    assert set(got.feature) == {f"f{i:03d}" for i in range(260)} | {"alone", "once"}
+    assert (abs(got.groupby("factor").weight.sum() - 1) < 1e-9).all()
+    allowed = np.array([False, True, True])
+    assert mixtures.anchor_features(np.eye(3), 3, allowed) == [1, 2]
