@@ -45,7 +45,7 @@ def read(batch: pa.RecordBatch) -> Docs:
     return Docs(batch.column("id"), np.repeat(np.arange(len(sizes)), sizes), flat, batch.column("counts").flatten().to_numpy(zero_copy_only=False))
 
 
-def added(docs: DataFrame, stats: Callable[[Docs], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+def added(docs: DataFrame, stats: Callable[..., np.ndarray], shape: tuple[int, ...], reader: Callable = read) -> np.ndarray:
     """Sum over all batches of an array of fixed ``shape``: added up within tasks, then by rows in Spark."""
     width = int(np.prod(shape[1:], dtype=int))
 
@@ -53,7 +53,7 @@ def added(docs: DataFrame, stats: Callable[[Docs], np.ndarray], shape: tuple[int
         total = np.zeros(shape)
         for b in batches:
             if b.num_rows:
-                total += stats(read(b))
+                total += stats(reader(b))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape[0])), pa.ListArray.from_arrays(pa.array(np.arange(shape[0] + 1, dtype=np.int32) * width), pa.array(total.ravel()))], ["r", "v"])
 
     parts = docs.mapInArrow(run, "r long, v array<double>")

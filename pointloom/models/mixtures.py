@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pointloom.models.counts import Docs, added, read
 from pointloom.operators.groups import apply_groups
-from pointloom.session import small
+from pointloom.session import materialize, small
 
 
 def mixture_de(counts: DataFrame, theta: DataFrame, k: int, negative_binomial: bool = False, rounds: int = 60, least: float = 5.0, shrink: float = 0.5) -> DataFrame:
@@ -23,8 +24,13 @@ def mixture_de(counts: DataFrame, theta: DataFrame, k: int, negative_binomial: b
     effect_k)``; EM shares a count out to topics, and given the shares the rates of
     both groups are ratios of sums, so that zeros enter only through the groups'
     exposures and units without the feature are never touched.  ``shrink`` is a
-    prior count at the pooled rate.  With ``negative_binomial`` errors widen by
-    the over-dispersion found by moments.
+    prior count at the pooled rate.
+
+    With ``negative_binomial`` the variance is ``rate + alpha rate^2``: each feature
+    has its ``alpha`` by moments over all units, also those without it, at the
+    Poisson rates, and the rates are the most likely ones given ``alpha``, with
+    errors from the full Fisher information of the topics.  Each round goes once
+    over all units.
     """
     t = theta.select("unit", "theta", "size", "x")
     e = t.select("x", "size", F.posexplode("theta").alias("k", "p")).groupBy("k").pivot("x", [-1, 1]).agg(F.sum(F.col("p") * F.col("size"))).collect()
@@ -52,17 +58,114 @@ def mixture_de(counts: DataFrame, theta: DataFrame, k: int, negative_binomial: b
             rate = new
             if done:
                 break
-        wide = 1.0
-        if negative_binomial:
-            lam = (p * rate[:, g].T).sum(1)
-            alpha = max(0.0, (((y - lam) ** 2 - y) / np.maximum(lam, 1e-9) ** 2).mean())
-            wide = 1 + alpha * lam.mean()
         base = np.log(rate).mean(1)
         effect = (np.log(rate[:, 1]) - np.log(rate[:, 0])) / 2
-        se = 0.5 * np.sqrt(wide * (1 / (share[:, 0] + shrink) + 1 / (share[:, 1] + shrink)))
+        se = 0.5 * np.sqrt(1 / (share[:, 0] + shrink) + 1 / (share[:, 1] + shrink))
         return pd.DataFrame({"feature": pdf.feature.iloc[0], "topic": np.arange(k, dtype=np.int32), "base": base, "effect": effect, "se": se, "z": effect / se})
 
-    return apply_groups(rows, ["feature"], fit, f"feature {kind}, topic int, base double, effect double, se double, z double")
+    schema = f"feature {kind}, topic int, base double, effect double, se double, z double"
+    poisson = apply_groups(rows, ["feature"], fit, schema)
+    return _negative_binomial(counts, t, k, poisson, schema, exposure.sum(), shrink) if negative_binomial else poisson
+
+
+class Exposed(NamedTuple):
+    """Documents of a batch with their topics times size, and their group."""
+
+    docs: Docs
+    p: np.ndarray
+    group: np.ndarray
+
+    def parts(self, m: int, cells: int = 1_000_000):
+        """By group and at most ``cells`` of document by feature: the rows, and of their counts row, feature and amount."""
+        for g in (0, 1):
+            at = np.flatnonzero(self.group == g)
+            step = max(1, cells // max(1, m))
+            for i in range(0, len(at), step):
+                rows = at[i : i + step]
+                place = np.full(len(self.p), -1)
+                place[rows] = np.arange(len(rows))
+                own = place[self.docs.doc] >= 0
+                yield g, self.p[rows], place[self.docs.doc[own]], self.docs.word[own], self.docs.n[own]
+
+
+def _exposed(b: pa.RecordBatch) -> Exposed:
+    size = b.column("size").to_numpy(zero_copy_only=False)
+    theta = b.column("theta").flatten().to_numpy(zero_copy_only=False).reshape(len(size), -1)
+    return Exposed(read(b), theta * size[:, None], (b.column("x").to_numpy(zero_copy_only=False) > 0).astype(int))
+
+
+def _negative_binomial(counts: DataFrame, t: DataFrame, k: int, poisson: DataFrame, schema: str, exposure: float, shrink: float, rounds: int = 40) -> DataFrame:
+    """The rates of ``poisson`` moved to where the negative binomial's likelihood is greatest.
+
+    A step is Fisher's; a feature whose steps grow goes on with half of them, after one
+    that can't lose likelihood (``log(1 + alpha rate)`` bounded by its tangent, topics shared out
+    as in EM) instead.
+    """
+    start = poisson.toPandas().sort_values(["feature", "topic"])  # the model's own size
+    m = len(start) // k
+    if not m:
+        return t.sparkSession.createDataFrame([], schema)
+    names = start.feature.tolist()[::k]
+    base, effect = (start[c].to_numpy().reshape(m, k) for c in ("base", "effect"))
+    rate = np.exp(np.stack([base - effect, base + effect], 1))
+    known = small(t.sparkSession.createDataFrame(list(enumerate(names)), f"i int, feature {schema.split(',')[0].split(' ', 1)[1]}"))
+    y = counts.where("y > 0").join(known, "feature").groupBy("unit", "i").agg(F.sum("y").cast("double").alias("n"))
+    y = y.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("l"))
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>"))
+    units = t.where("x in (-1, 1)").join(y, "unit", "left").select(F.col("unit").alias("id"), none("l.i", "int").alias("words"), none("l.n", "double").alias("counts"), "theta", F.col("size").cast("double").alias("size"), "x")
+    units = materialize(units)
+
+    def moments(u: Exposed) -> np.ndarray:
+        out = np.zeros((m, 3))
+        for g, p, i, j, n in u.parts(m):
+            lam = p @ rate[:, g].T
+            out[:, 0] += (lam**2).sum(0)
+            out[:, 1] += np.bincount(j, n * n - 2 * n * lam[i, j] - n, m)
+            out[:, 2] += np.bincount(j, n, m)
+        return out
+
+    s = added(units, moments, (m, 3), _exposed)
+    alpha = np.clip((s[:, 0] + s[:, 1]) / np.maximum(s[:, 0], 1e-12), 0, 1e4)
+    pooled = np.maximum(s[:, 2] / max(exposure, 1e-12), 1e-300)[:, None, None]
+
+    def scores(rate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By feature, group and topic: counts shared out, exposure, and the information of the logarithms."""
+
+        def part(u: Exposed) -> np.ndarray:
+            out = np.zeros((m, 2, 2 * k + k * k))
+            for g, p, i, j, n in u.parts(m):
+                lam = np.maximum(p @ rate[:, g].T, 1e-300)
+                one = 1 / (1 + alpha * lam)
+                out[:, g, k : 2 * k] += one.T @ p
+                for a in range(k):
+                    out[:, g, a] += np.bincount(j, n / lam[i, j] * p[i, a], m) * rate[:, g, a]
+                    out[:, g, k + a] += np.bincount(j, n * one[i, j] * p[i, a], m) * alpha
+                one /= lam
+                out[:, g, 2 * k :] += one.T @ (p[:, :, None] * p[:, None]).reshape(-1, k * k)
+            return out
+
+        s = added(units, part, (m, 2, 2 * k + k * k), _exposed)
+        return s[..., :k], s[..., k : 2 * k], s[..., 2 * k :].reshape(m, 2, k, k) * rate[..., None] * rate[..., None, :]
+
+    last, damp = np.full(m, np.inf), np.ones(m)
+    for n in range(rounds + 1):
+        share, den, info = scores(rate)
+        grad = share + shrink - rate * (den + shrink / pooled)
+        info = info + shrink * np.eye(k) * np.maximum(1, rate / pooled)[..., None]
+        step = np.clip(np.linalg.solve(info, grad[..., None])[..., 0], -1, 1)
+        far = np.abs(step).reshape(m, -1).max(1)
+        if n == rounds or far.max() < 1e-4:
+            break
+        safe = np.log((share + shrink) / (den + shrink / pooled)) - np.log(rate)
+        grown = far > last
+        damp = np.where(grown, damp / 2, damp)
+        rate = rate * np.exp(np.where(grown[:, None, None], safe, step * damp[:, None, None]))
+        last = np.where(grown, np.inf, far)
+    base = np.log(rate).mean(1)
+    effect = (np.log(rate[:, 1]) - np.log(rate[:, 0])) / 2
+    se = 0.5 * np.sqrt(np.linalg.inv(info).diagonal(0, 2, 3).sum(1))
+    out = pd.DataFrame({"feature": np.repeat(names, k), "topic": np.tile(np.arange(k, dtype=np.int32), m), "base": base.ravel(), "effect": effect.ravel(), "se": se.ravel(), "z": (effect / se).ravel()})
+    return t.sparkSession.createDataFrame(out, schema)
 
 
 def _local_nmf(d: Docs, beta: np.ndarray, c: float, theta: np.ndarray | None, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

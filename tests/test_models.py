@@ -114,3 +114,37 @@ def test_anchor_markers_take_all_features(spark, monkeypatch):
     assert (abs(got.groupby("factor").weight.sum() - 1) < 1e-9).all()
     allowed = np.array([False, True, True])
     assert mixtures.anchor_features(np.eye(3), 3, allowed) == [1, 2]
+
+
+def test_negative_binomial_is_fitted(spark):
+    """Sparse over-dispersed counts: z of features without an effect is about standard, and rates are where the likelihood's slope is 0."""
+    rng = np.random.default_rng(5)
+    n, m, alpha = 600, 120, 3.0
+    theta, x = rng.dirichlet([0.3, 0.3], n), np.where(np.arange(n) % 2, 1, -1)
+    rate = np.array([0.5, 0.2])
+    lam = theta @ rate
+    y = rng.poisson(rng.gamma(1 / alpha, alpha * lam[:, None], (n, m)))
+    y[:, 0] = rng.poisson(rng.gamma(1 / alpha, alpha * (theta[:, 0] * 0.5 * np.exp(x) + theta[:, 1] * 0.2)))
+    y[:, 1] = rng.poisson(lam)
+    i, j = np.nonzero(y)
+    counts = spark.createDataFrame([(int(a), f"f{b:03d}", int(y[a, b])) for a, b in zip(i, j)], "unit int, feature string, y int")
+    units = spark.createDataFrame([(a, [float(v) for v in theta[a]], 1.0, int(x[a])) for a in range(n)], "unit int, theta array<double>, size double, x int")
+    nb, po = (mixtures.mixture_de(counts, units, 2, negative_binomial=b).toPandas().set_index(["feature", "topic"]).sort_index() for b in (True, False))
+    assert len(nb) == 2 * m and list(nb.columns) == ["base", "effect", "se", "z"]
+    null = nb.loc["f002":]
+    assert 0.8 < null.z.std() < 1.2 and abs(null.z.mean()) < 0.2
+    assert abs(nb.effect["f000", 0] - 1.0) < 0.5 and nb.z["f000", 0] > 3
+    assert (null.se > po.loc["f002":].se).all() and (nb.se["f001"] < null.se.groupby("topic").mean()).all()
+    pr = {f: np.exp(np.stack([po.base[f] - po.effect[f], po.base[f] + po.effect[f]])) for f in ("f002", "f050")}
+    g = (x > 0).astype(int)
+    for f, r0 in pr.items():
+        c = y[:, int(f[1:])]
+        fit = (theta * r0[g]).sum(1)
+        a = max(0, ((c - fit) ** 2 - c).sum() / (fit**2).sum())
+        r = np.exp(np.stack([nb.base[f] - nb.effect[f], nb.base[f] + nb.effect[f]]))
+        fit = (theta * r[g]).sum(1)
+        for k in range(2):
+            for h in range(2):
+                e = (g == h) * theta[:, k] * r[h, k]
+                slope = (e * (c - fit) / (fit * (1 + a * fit))).sum() + 0.5 - 0.5 * r[h, k] / (c.sum() / n)
+                assert abs(slope) < 0.01
