@@ -7,12 +7,13 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.grid import EARTH
+from pointloom.functions.grid import EARTH, mercator
 from pointloom.operators.groups import apply_groups
 from pointloom.operators.joins import nearest_anchor
+from pointloom.session import materialize, small
 from pointloom.sources.tiled import mvt, point_tiles, read_pmtiles, tile_number
 
 
@@ -192,28 +193,45 @@ def place(n: int) -> tuple[int, int, int]:
 def sized_pyramid(points: DataFrame, zoom: int, lowest: int, layer: str, properties: list[str], most_rows: int, most_bytes: int, key: str = "point_id") -> DataFrame:
     """Encoded tiles for all zooms; below the highest, rows are thinned until each tile keeps to both limits.
 
-    A level keeps the share of rows its fullest tile would allow, by a hash of the
-    key, so that what shows at a zoom also shows at the next; a tile still too large
-    loses its last rows by that hash, never all of them.
+    Each tile of a level keeps the share of its rows that the fullest one would
+    allow, in the order of a hash of the key and at least one, so that what shows at
+    a zoom also shows at the next; a tile still too large loses its last rows by
+    that hash, never all of them.
     """
-    out, rows = None, points.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    for z in range(zoom, lowest - 1, -1):
-        tiles = point_tiles(rows, z, layer, properties)
-        if z < zoom:
-            worst = tiles.select(F.max(F.length("data"))).first()[0] or 0
-            from pointloom.functions.grid import mercator
-
-            m = mercator("x", "y", z)
-            fullest = rows.groupBy(m["tx"].alias("a"), m["ty"].alias("b")).count().agg(F.max("count")).first()[0] or 0
-            share = min(1.0, most_rows / max(1, fullest), most_bytes / max(1, worst))
-            if share < 1.0:
-                limit = rows.agg(F.percentile("__h", F.lit(share))).first()[0]
-                rows = rows.where(F.col("__h") <= limit)
-                tiles = point_tiles(rows, z, layer, properties)
-        out = tiles if out is None else out.unionByName(tiles)
+    rows, out = points.withColumn("__h", F.xxhash64(key)), point_tiles(points, zoom, layer, properties)
+    for z in range(zoom - 1, lowest - 1, -1):
+        m = mercator("x", "y", z)
+        tile = Window.partitionBy("__tx", "__ty")
+        rows = rows.withColumns({"__tx": m["tx"], "__ty": m["ty"]})
+        rows = materialize(rows.withColumns({"__r": F.row_number().over(tile.orderBy("__h", key, "x", "y")), "__n": F.count(F.lit(1)).over(tile)}))
+        fullest = rows.agg(F.max("__n")).first()[0] or 0
+        worst = point_tiles(rows, z, layer, properties).select(F.max(F.length("data"))).first()[0] or 0
+        share = min(1.0, most_rows / max(1, fullest), most_bytes / max(1, worst))
+        rows = rows.where(F.col("__r") <= F.greatest(F.lit(1), F.least(F.lit(most_rows), F.floor(F.col("__n") * share + 1e-9))))
+        tiles = materialize(_fitted(rows, z, layer, properties, most_bytes))
+        out = out.unionByName(tiles.select("z", "x", "y", "data"))
+        kept = small(tiles.select(F.col("x").alias("__tx"), F.col("y").alias("__ty"), "kept"))
+        rows = rows.join(kept, ["__tx", "__ty"]).where("__r <= kept").drop("__tx", "__ty", "__r", "__n", "kept")
     return out
 
 
+def _fitted(rows: DataFrame, zoom: int, layer: str, properties: list[str], most_bytes: int, extent: int = 4096) -> DataFrame:
+    """Point tiles ``z, x, y, data, kept`` of the first ``kept`` rows by ``__r``: as many as ``most_bytes`` takes, at least one."""
+    m = mercator("x", "y", zoom, extent)
+    t = rows.select(m["tx"].alias("tx"), m["ty"].alias("ty"), m["px"].cast("int").alias("u"), m["py"].cast("int").alias("v"), "__r", *properties)
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__r")
+        feats = [(1, [[(u, v)]], p) for u, v, p in zip(pdf.u.tolist(), pdf.v.tolist(), pdf[properties].to_dict("records"))]
+        n = len(feats)
+        while len(data := gzip.compress(mvt(layer, feats[:n], extent), 6, mtime=0)) > most_bytes and n > 1:
+            n = max(1, min(n - 1, int(n * 0.95 * most_bytes / len(data))))
+        return pdf.head(1)[["tx", "ty"]].assign(data=data, kept=n)
+
+    out = apply_groups(t, ["tx", "ty"], encode, "tx bigint, ty bigint, data binary, kept int")
+    return out.select(F.lit(zoom).alias("z"), F.col("tx").alias("x"), F.col("ty").alias("y"), "data", "kept")
+
+
 def lowres_map(points: DataFrame, units: DataFrame, radius: float, scale: float, by: list[str] = ()) -> DataFrame:
     """``u, v, factor, n``: screen pixels by the factor of the nearest unit (``anchor_id, x, y, layer``) within ``radius``."""
     near = nearest_anchor(points, units, radius, by).select("point_id", "layer")

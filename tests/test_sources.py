@@ -120,3 +120,24 @@ def test_polygon_tiles_and_export(spark, tmp_path):
     assert {t.z for t in small} == {0, 1, 2, 3} and all(len(maptiles.decode_tile(bytes(t["data"]))) <= 6 for t in small if t.z == 0)
     tiles = maptiles.tile_image(np.zeros((300, 500, 3), np.uint8), 1)
     assert sorted((z, x, y) for z, x, y, _ in tiles) == [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)]
+
+
+def test_sized_pyramid_keeps_sparse_tiles_and_both_limits(spark):
+    """A tile with most rows doesn't empty the others, and no tile exceeds a limit."""
+    from pointloom.sources import maptiles
+
+    rng = np.random.default_rng(1)
+    rows = [(i, 1e6 + float(i), 1e6, f"{rng.integers(1 << 60):x}") for i in range(400)]
+    rows += [(1000 + i, -19e6 + 2.5e6 * (i % 16), -19e6 + 2.5e6 * (i // 16), f"{rng.integers(1 << 60):x}") for i in range(256)]
+    pts = spark.createDataFrame(rows, "point_id int, x double, y double, name string")
+    shown = {}
+    for t in maptiles.sized_pyramid(pts, 4, 0, "points", ["name"], 40, 700).collect():
+        names = {f[3]["name"] for f in maptiles.decode_tile(bytes(t["data"]))}
+        shown[t.z, t.x, t.y] = names
+        if t.z < 4:
+            assert 1 <= len(names) <= 40 and (len(t["data"]) <= 700 or len(names) == 1)
+    for z in range(4, 0, -1):
+        assert {(x // 2, y // 2) for k, x, y in shown if k == z} == {(x, y) for k, x, y in shown if k == z - 1}
+        below = set().union(*(v for k, v in shown.items() if k[0] == z))
+        assert all(v <= below for k, v in shown.items() if k[0] == z - 1)
+    assert len({k for k in shown if k[0] == 3}) == 64
