@@ -38,7 +38,8 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
     within ``NEAR`` words of each other; case, accents, look-alike letters,
     punctuation, digits, hyphenation and layout don't matter, and scattered words
     may be missing, foreign or changed.  ``starts`` and ``ends`` are the merged
-    character spans of the pieces in the document.  Null or empty texts and
+    character spans of the pieces of all places in the document that hold that
+    share, ``matched`` is the most of one place.  Null or empty texts and
     passages and null ids match nothing; passages of fewer than ``PHRASE`` words
     can't be found.  A document or item given twice comes out twice.  Passages
     are sent to all tasks ``ITEMS`` at a time, whatever their number.
@@ -140,17 +141,48 @@ def shard(texts: list[str], p: Passages, share: float) -> list[tuple]:
         return []
     at = np.minimum(np.searchsorted(p.vocabulary, w.code), len(p.vocabulary) - 1)
     symbol = np.where(p.vocabulary[at] == w.code, at + 1, 0)
-    best: dict[tuple[int, int], tuple] = {}
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    spans: dict[tuple[int, int], set[tuple[int, int]]] = {}
     for k, d, lo, hi in zip(*(a.tolist() for a in candidates(symbol, w.bounds, p))):
-        s, n = symbol[lo:hi], len(p.symbols[k])
-        if common(s[s > 0].tolist(), p.mask(k), n) < share * n:
+        n = len(p.symbols[k])
+        for matched, places in occurrences(p.symbols[k], p.mask(k), symbol[lo:hi], share * n):
+            best[k, d] = (max(matched, best.get((k, d), (0,))[0]), n)
+            spans.setdefault((k, d), set()).update((int(w.start[lo + a]), int(w.end[lo + b - 1])) for a, b in places)
+    return [(*key, *v, *merged(spans[key])) for key, v in best.items()]
+
+
+def occurrences(passage: np.ndarray, mask: dict[int, int], text: np.ndarray, least: float) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Every place of a text that holds at least ``least`` words of the passage: how many, first and end words of its pieces.
+
+    What lies before the last piece of an alignment and what lies after its first
+    one are aligned again, as the passage may stand there once more.
+    """
+    out, rest, seen = [], [(0, len(text))], set()
+    while rest:
+        lo, hi = part = rest.pop()
+        s = text[lo:hi]
+        if part in seen or np.count_nonzero(s) < max(least, PIECE) or common(s[s > 0].tolist(), mask, len(passage)) < least:
             continue
-        pieces = align(p.symbols[k], s)
+        seen.add(part)
+        pieces = align(passage, s)
         matched = sum(m for m, *_ in pieces)
-        if matched >= share * n and matched > best.get((k, d), (0,))[0]:
-            spans = sorted((int(w.start[lo + a]), int(w.end[lo + b - 1])) for _, a, b in pieces)
-            best[k, d] = (matched, n, [a for a, _ in spans], [b for _, b in spans])
-    return [(*key, *v) for key, v in best.items()]
+        if pieces and matched >= least:
+            places = sorted((lo + a, lo + b) for _, a, b in pieces)
+            out.append((matched, places))
+            rest += [(lo, places[-1][0]), (places[0][1], hi)]
+    return out
+
+
+def merged(spans: set[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of spans in order, overlapping ones made one."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def common(text: list[int], mask: dict[int, int], n: int) -> int:

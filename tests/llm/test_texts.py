@@ -71,6 +71,29 @@ def leak_cases():
     yield 21, "\n".join(w), {1}
 
 
+def test_every_copy_of_a_passage_is_removed(spark):
+    """A passage twice in one window, three times far apart, and in two halves each of which reaches the share."""
+    a = PASSAGES[0][1]
+    w = a.split()
+    fill = "A return spring presses the elastic cartridge against the thermal lever and holds it there until the valve opens again. "
+    texts = {
+        1: [a, fill, a], 2: [a, fill * 20, a, fill * 20, a], 3: [" ".join(w[:12]), fill * 3, " ".join(w[-13:])],
+        4: [fill, a, fill], 5: [a, fill, " ".join(w[:8])],
+    }
+    docs = spark.createDataFrame([(d, "".join(t + " " for t in ts)) for d, ts in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame(PASSAGES[:1], "item_id long, passage string")
+    rows = {r.doc_id: r for r in leaks.leaked(docs, items).collect()}
+    body = {r.doc_id: r.text for r in docs.collect()}
+    left = {}
+    for d, r in rows.items():
+        assert all(x >= y for x, y in zip(r.starts[1:], r.ends))
+        left[d] = "".join(body[d][p:q] for p, q in zip([0, *r.ends], [*r.starts, len(body[d])]))
+    assert set(rows) == {1, 2, 3, 4, 5} and all(r.matched <= r.n_words == len(w) for r in rows.values())
+    assert left[1].strip() == fill.strip() and left[4].split() == (fill * 2).split() and left[2].split() == (fill * 40).split()
+    assert left[3].split() == (fill * 3).split()
+    assert left[5].split() == fill.split() + w[:8]
+
+
 def test_leaks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "SHARD", 20_000)
     cases = list(leak_cases())
