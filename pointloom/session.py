@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FIXED = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz"}
+#: What a null version counts as: later than any other.
+_LATE = {"timestamp": "9999-12-31 23:59:59", "timestamp_ntz": "9999-12-31 23:59:59", "date": "9999-12-31"}
 _WRITTEN: list[str] = []
 
 #: Rows up to which a lookup table is broadcast; above it the join shuffles.
@@ -83,9 +85,10 @@ def once(df: DataFrame, keys: list[str], version: str = "recv_ts") -> DataFrame:
         lone = lone | F.col(k).isNull()
     groups = df.withColumn("__lone", F.when(lone, F.monotonically_increasing_id())).groupBy(*keys, "__lone")
     kinds = dict(df.dtypes)
-    if version in rest and all(kinds[c] in _FIXED for c in rest):
-        # buffers of fixed width: Spark aggregates by hash
-        return groups.agg(*[F.min(c).alias(c) if c == version else F.min_by(c, version).alias(c) for c in rest]).select(*df.columns)
+    if version in rest and kinds[version] in _LATE and all(kinds[c] in _FIXED for c in rest):
+        # buffers of fixed width: Spark aggregates by hash; min_by leaves out rows whose order is null
+        order = F.coalesce(version, F.lit(_LATE[kinds[version]]).cast(kinds[version]))
+        return groups.agg(*[F.min(c).alias(c) if c == version else F.min_by(c, order).alias(c) for c in rest]).select(*df.columns)
     if not rest:
         return groups.agg(F.count(F.lit(1))).select(*df.columns)
     order = [version] if version in rest else []

@@ -29,3 +29,16 @@ def test_empty_and_heavy(spark):
     assert {r["key"] for r in heavy_keys(p, "key", "n_rows", 41).collect()} == {"a", "b", "c"}
     assert {r["key"] for r in heavy_keys(p, "key", "total", 4).collect()} == {"a", "c"}
     assert heavy_keys(key_profile(empty, "key", "value"), "key", "n_rows", 4).count() == 0
+
+
+def test_records_without_recv_ts_keep_their_values(spark):
+    """The only row of a record, or all its copies, may have a null version; its other columns stay."""
+    from pointloom.session import once
+
+    rows = [(1, 10, 2, None), (2, 20, 3, None), (2, 20, 3, None), (3, 30, 4, None), (3, 30, 4, "2024-01-01 00:00:00"), (None, 5, 6, None), (4, None, 7, "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "rec_id long, feature_code int, count_value long, t string").selectExpr("rec_id", "feature_code", "count_value", "cast(t as timestamp) as recv_ts")
+    got = {(r.rec_id, r.feature_code, r.count_value, r.recv_ts is None) for r in once(df, ["rec_id"]).collect()}
+    assert got == {(1, 10, 2, True), (2, 20, 3, True), (3, 30, 4, False), (None, 5, 6, True), (4, None, 7, False)}
+    for kind in ("date", "timestamp_ntz", "long"):
+        d = df.selectExpr("rec_id", "feature_code", f"cast(null as {kind}) as recv_ts")
+        assert {(r.rec_id, r.feature_code) for r in once(d, ["rec_id"]).collect()} == {(1, 10), (2, 20), (3, 30), (None, 5), (4, None)}
