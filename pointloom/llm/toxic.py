@@ -26,8 +26,9 @@ from pointloom.llm.textcodes import blocks, fold_table
 
 #: Documents found clean by raters that are read for training: the bound of the sample.
 CLEAN_DOCS = 300
-#: Tokens without evidence between two stretches that are scored separately, and tokens of the shortest passage.
-BACKGROUND, SHORTEST = 12, 3
+#: Tokens without evidence between two stretches that are scored separately; tokens of a passage from which on it needs
+#: neither a marked word nor a mean marginal of ``SURE``.
+BACKGROUND, SHORTEST, SURE = 12, 3, 0.9
 #: Rounds of training, weight decay.
 ROUNDS, DECAY = 100, 2e-3
 UNKNOWN, SPELLED = 0, 1
@@ -372,25 +373,31 @@ def passages(e: np.ndarray, bounds: np.ndarray, step: np.ndarray) -> np.ndarray:
     return out
 
 
-def found_spans(p: np.ndarray, begins: np.ndarray, least: float = 0.5) -> tuple[np.ndarray, ...]:
-    """Passages: text, first token in it, end token, mean marginal; of at least ``SHORTEST`` tokens."""
+def found_spans(p: np.ndarray, begins: np.ndarray, marked: np.ndarray, least: float = 0.5) -> tuple[np.ndarray, ...]:
+    """Passages: text, first token in it, end token, mean marginal.
+
+    Runs of fewer than ``SHORTEST`` tokens need a ``marked`` one (a bool for each
+    token) or a mean of ``SURE``.
+    """
     on = p >= least
     on[begins[1:] - 1] = False
     edge = np.flatnonzero(np.diff(np.r_[False, on, False].astype(np.int8)))
     a, b = edge[::2], edge[1::2]
-    keep = b - a >= SHORTEST
-    a, b = a[keep], b[keep]
+    sums, strong = np.r_[0, np.cumsum(p)], np.r_[0, np.cumsum(marked)]
+    mean = (sums[b] - sums[a]) / np.maximum(1, b - a)
+    keep = (b - a >= SHORTEST) | (mean >= SURE) | (strong[b] > strong[a])
+    a, b, mean = a[keep], b[keep], mean[keep]
     text = np.searchsorted(begins, a, "right") - 1
-    sums = np.r_[0, np.cumsum(p)]
-    return text, a - begins[text], b - begins[text], (sums[b] - sums[a]) / np.maximum(1, b - a)
+    return text, a - begins[text], b - begins[text], mean
 
 
 def toxicity(docs: DataFrame, field: Field, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, score, starts, ends`` for every document: its score and the character offsets of its passages.
 
     The score is the greatest mean marginal of its passages, else half its
-    greatest marginal; a passage is a run of at least ``SHORTEST`` tokens with
-    marginals of 0.5 or more, so documents with a passage have 0.5 or more.  Null
+    greatest marginal; a passage is a run of tokens with marginals of 0.5 or more
+    (a run of fewer than ``SHORTEST`` also holds a word marked as an insult or has a
+    mean of ``SURE``), so documents with a passage have 0.5 or more.  Null
     and empty texts score 0.  Texts are read whole.
     """
     kind = dict(docs.dtypes)[doc]
@@ -398,6 +405,7 @@ def toxicity(docs: DataFrame, field: Field, doc: str = "doc_id", text: str = "te
     def run(batches):
         speller = Speller(field.words, field.marked)
         numbers = _Numbers(speller)
+        insults = [speller.number[x] for x in field.marked if x in speller.number]
         for t in sized(batches, 1):
             ids, texts = column(t, doc), column(t, text).to_pylist()
             for s in blocks(texts, SHARD):
@@ -406,7 +414,7 @@ def toxicity(docs: DataFrame, field: Field, doc: str = "doc_id", text: str = "te
                 word, disguised, begins = encode(texts[s], numbers)
                 p = passages(field.evidence(word, disguised), begins, field.step)
                 score = np.maximum.reduceat(p, begins[:-1]) * 0.499
-                k, a, b, mean = found_spans(p, begins)
+                k, a, b, mean = found_spans(p, begins, np.isin(word, insults))
                 np.maximum.at(score, k, mean)
                 starts, ends = [[] for _ in range(len(begins) - 1)], [[] for _ in range(len(begins) - 1)]
                 for i, x, y in zip(k.tolist(), a.tolist(), b.tolist()):

@@ -270,3 +270,22 @@ def test_clean_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(2, 1), (None, 0), (4, None)], "doc_id long, toxic int")
     got = toxic.clean_sample(docs, labels, 5)
     assert len(got) == 5 and "text 2" not in got and all(int(t.split()[1]) % 2 == 0 for t in got)
+
+
+def test_short_passages_count(spark):
+    """One or two tokens make a passage if one is marked or their marginals are high."""
+    p = np.array([0.6, 0.7, 0, 0, 0.95, 0.97, 0, 0, 0.7, 0, 0.6, 0.6, 0.6, 0])
+    marked = np.zeros(len(p), bool)
+    marked[8] = True
+    text, a, b, mean = toxic.found_spans(p, np.array([0, 4, 8, 10, 14]), marked)
+    assert [*zip(text.tolist(), a.tolist(), b.tolist())] == [(1, 0, 2), (2, 0, 1), (3, 0, 3)]
+    assert np.allclose(mean, [0.96, 0.7, 0.6])
+
+
+def test_short_insults_are_found(spark, field):
+    fill = "the seal closes the gap between the two plates and the valve opens again "
+    texts = ["fuck off", "shut up", fill + "Fuck off! " + fill, "you are kind", "thank you", fill]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in toxic.toxicity(df, field).collect()}
+    assert {d for d, r in rows.items() if r.score >= 0.5} == {0, 1, 2}
+    assert [texts[2][a:b] for a, b in zip(rows[2].starts, rows[2].ends)] == ["Fuck off!"]
