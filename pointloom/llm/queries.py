@@ -14,7 +14,7 @@ from pointloom.llm.leaks import leaked
 from pointloom.llm.packing import containers
 from pointloom.llm.termfreq import marked, merged, term_counts
 from pointloom.llm.topn import top_items
-from pointloom.llm.toxic import Field, clean_sample, toxicity, train
+from pointloom.llm.toxic import FOUND, Field, rated_samples, toxicity, train
 from pointloom.session import feature_name, materialize, once, small, table
 
 PIXEL = ["tile_z", "tile_x", "tile_y", "local_x", "local_y"]
@@ -148,12 +148,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _field(spark: SparkSession, sf_dir: str) -> Field:
-    return train(clean_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")))
+    return train(*rated_samples(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity(table(spark, sf_dir, "documents"), _field(spark, sf_dir))
-    return scores.where("score >= 0.5").select("doc_id")
+    return scores.where(F.col("score") >= FOUND).select("doc_id")
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, documents with a passage and their rate, by source."""
     scores = materialize(toxicity(table(spark, sf_dir, "documents"), _field(spark, sf_dir)).select("doc_id", "score"))
     by = table(spark, sf_dir, "documents").select("doc_id", "source").join(scores, "doc_id").groupBy("source")
-    out = by.agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("score") >= 0.5).cast("long")).alias("toxic_docs"), F.round(F.avg("score"), 6).alias("mean_score"))
+    out = by.agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("score") >= FOUND).cast("long")).alias("toxic_docs"), F.round(F.avg("score"), 6).alias("mean_score"))
     return out.withColumn("rate", F.round(F.col("toxic_docs") / F.col("docs"), 6))
 
 

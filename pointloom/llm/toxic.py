@@ -1,19 +1,24 @@
 """Abusive, hateful and sexual passages, tagged by a linear-chain conditional random field.
 
 Two states, in a passage or not.  A token's features are its word (in a canonical
-spelling that undoes disguises), its neighbours' words, the two bigrams it is part
-of and whether it was disguised.  The field is trained on labelled tokens: written
-passages and a bounded sample of documents that raters found clean.  Inference
-is forward-backward; marginals make spans, spans make a document's score.
+spelling that undoes disguises), pieces of ``GRAMS`` letters of it, the kinds of
+word it is (insult, second person, group, violence, ...), the kinds around it,
+its neighbours' words, known word pairs, and whether it was disguised.  The
+field is trained on labelled tokens: passages written from frames and word lists,
+a bounded sample of documents that raters found clean, and, of a bounded sample
+they called toxic, the one sentence that looks most like a passage if any does.
+Inference is forward-backward; marginals make spans, spans make a document's score.
 
 A document is split at white space and each different token is looked at once in
-a process, so the work for a token is an array lookup.
+a process, so the work for a token is an array lookup; only near words that could
+belong to a passage are the kinds around a token looked up.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +29,24 @@ from pointloom.llm import toxic_seeds as seeds
 from pointloom.llm.runs import column, sized
 from pointloom.llm.textcodes import blocks, fold_table
 
-#: Documents found clean by raters that are read for training: the bound of the sample.
-CLEAN_DOCS = 300
+#: Documents found clean, and called toxic, by raters that are read for training: the bounds of the samples.
+CLEAN_DOCS, TOXIC_DOCS = 500, 500
 #: Tokens without evidence between two stretches that are scored separately; tokens of a passage from which on it needs
 #: neither a marked word nor a mean marginal of ``SURE``.
 BACKGROUND, SHORTEST, SURE = 12, 3, 0.9
-#: Rounds of training, weight decay.
-ROUNDS, DECAY = 100, 2e-3
+#: Least score of a document that counts as a case.
+FOUND = 0.5
+#: Rounds of training and of training again with sentences of rated documents, weight decay.
+ROUNDS, AGAIN, DECAY = 80, 40, 2e-3
+#: Letters of the pieces of a word, and weights they share by a hash; tokens around one whose kinds count.
+GRAMS, SLOTS, AROUND = (4, 5), 1 << 15, 5
+#: A word that one in so many clean documents holds is of no kind; least marginal of a rated document's best sentence.
+USUAL, LIKELY = 30, 0.7
 UNKNOWN, SPELLED = 0, 1
 SHARD = 6_000_000
+#: Kinds of words; those of ``FUNCTION`` from ``PLAIN`` on are everywhere and call for no closer look by themselves.
+KINDS = ("none", "N", "A", "B", "G", "V", "X", "S", "C", "out", "doom", "lust", "hate", "kin", "you", "du", "P", "me", "he", "all", "should", "be", "go")
+PLAIN = KINDS.index("P")
 
 # Signs that stand for letters.
 _LEET = [str.maketrans("0134578@$!€", "oieastbasie"), str.maketrans("0134578@$!€", "oleastbasie")]
@@ -68,6 +82,7 @@ class Speller:
     """From raw tokens to known words, disguised ones included."""
 
     def __init__(self, words: list[str], marked: set[str]):
+        self.words = words
         self.number = {w: i + 2 for i, w in enumerate(words)}
         self.marked = sorted(w for w in marked if len(w) > 2)
         self.short = {squeezed(w): w for w in reversed(self.marked)}
@@ -82,6 +97,8 @@ class Speller:
     def read(self, token: str) -> tuple[int, bool, str]:
         """Number of the word (UNKNOWN if it's none), whether it was disguised, and the plain letter if it is one."""
         raw = token
+        if not token.isascii() and (w := next((u for u in seeds.UNSPACED if u in token), None)):
+            return self.number[w], False, ""
         if "<" in token:
             token = _TAG.sub("", token)
         token = folded(_EDGE.sub("", token) if token[:1] in "@$*" or not token.isalnum() else token)
@@ -113,7 +130,7 @@ class Speller:
 
 
 class _Numbers(dict):
-    """token -> (word number) with each new token read once; details lie beside."""
+    """token -> number with each new token read once; details lie beside."""
 
     def __init__(self, speller: Speller):
         self.speller = speller
@@ -121,6 +138,7 @@ class _Numbers(dict):
         self.disguised: list[bool] = []
         self.letter: list[str] = []
         self.token: list[str] = []
+        self.pieces: list[tuple[int, ...]] = []
 
     def __missing__(self, token: str) -> int:
         w, d, letter = self.speller.read(token)
@@ -128,12 +146,25 @@ class _Numbers(dict):
         self.disguised.append(d)
         self.letter.append(letter)
         self.token.append(token)
+        self.pieces.append(pieces(self.speller.words[w - 2] if w > SPELLED else plain(token)))
         self[token] = n = len(self.word) - 1
         return n
 
 
-def encode(texts: list[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts one after another, whether each was disguised, and where texts begin; an unknown word ends each."""
+def plain(token: str) -> str:
+    return folded(_EDGE.sub("", token))
+
+
+def pieces(word: str) -> tuple[int, ...]:
+    """Slots of the pieces of a word; none of what is no word."""
+    if not 4 <= len(word) <= 24 or not word.isalpha():
+        return ()
+    w = f"^{word}$".encode()
+    return tuple({zlib.crc32(w[i : i + n]) % SLOTS for n in GRAMS for i in range(len(w) - n + 1)})
+
+
+def encode(texts: list[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts one after another, whether each was disguised, numbers of the tokens, and where texts begin; an unknown word ends each."""
     flat: list[int] = []
     begins = np.zeros(len(texts) + 1, np.int64)
     for i, t in enumerate(texts):
@@ -147,7 +178,7 @@ def encode(texts: list[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.n
     for a, b in zip(edge[::2], edge[1::2]):  # words spelled out letter by letter
         if b - a >= 2:
             _spelled(word, disguised, [numbers.letter[k] for k in ids[a:b]], a, b, numbers, ids)
-    return word, disguised, begins
+    return word, disguised, ids, begins
 
 
 def _spelled(word, disguised, letters, a, b, numbers, ids) -> None:
@@ -168,20 +199,50 @@ def _spelled(word, disguised, letters, a, b, numbers, ids) -> None:
                 return
 
 
+def kinds_of(clean: list[str]) -> dict[str, list[int]]:
+    """Kinds of the listed words; a word of a list that many clean documents hold has none."""
+    usual: dict[str, int] = {}
+    for text in clean:
+        for w in {plain(t) for t in text.split()}:
+            usual[w] = usual.get(w, 0) + 1
+    often = max(3, len(clean) / USUAL)
+    out: dict[str, list[int]] = {}
+    listed = [(kind, w) for lists in seeds.LISTS.values() for kind, line in lists.items() for word in line.split() for w in {folded(word), *folded(word).split("_")}]
+    listed += [(kind, folded(w)) for kind, line in seeds.FUNCTION.items() for w in line.split()] + [("N", w) for w in seeds.UNSPACED]
+    for kind, w in listed:
+        k = KINDS.index(kind)
+        if (k >= KINDS.index("you") or usual.get(w, 0) < often) and len(w) > 1 - (kind == "me") and k not in out.setdefault(w, []):
+            out[w].append(k)
+    return out
+
+
 class Field:
     """Weights of the state "in a passage" against "not", and of going from state to state."""
 
-    def __init__(self, words: list[str], marked: set[str]):
+    def __init__(self, words: list[str], marked: set[str], kinds: dict[str, list[int]]):
         self.words, self.marked, n = words, marked, len(words) + 2
         self.n = n
         self.own, self.prev, self.next = np.zeros(n), np.zeros(n), np.zeros(n)
+        self.kind = np.zeros((n, len(KINDS)), np.float32)
+        for i, w in enumerate(words):
+            self.kind[i + 2, kinds.get(w, [0]) or [0]] = 1
+        self.kind[:2, 0] = 1
+        self.piece, self.alone, self.near = np.zeros(SLOTS), np.zeros(len(KINDS)), np.zeros((len(KINDS), len(KINDS)))
         self.pairs = np.zeros(0, np.int64)  # first * n + second, sorted
         self.first, self.second = np.zeros(0), np.zeros(0)  # weight of a pair for its first and for its second token
         self.disguise, self.step = np.zeros(2), np.array([[1.0, -2.0], [-2.0, 1.0]])
 
-    def evidence(self, word: np.ndarray, disguised: np.ndarray) -> np.ndarray:
-        """For each token how much it speaks for a passage."""
-        e = self.own[word] + self.disguise[disguised.astype(np.int8)]
+    def token_part(self, slots: list[tuple[int, ...]]) -> np.ndarray:
+        """What the pieces of tokens say: the mean weight, so that long words don't say more."""
+        sizes = np.array([len(s) for s in slots], np.int64)
+        flat = np.fromiter((x for s in slots for x in s), np.int64, int(sizes.sum()))
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.piece[flat], len(sizes))
+        return total / np.sqrt(np.maximum(1, sizes))
+
+    def evidence(self, word: np.ndarray, disguised: np.ndarray, part: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each token how much it speaks for a passage; ``part`` is what its pieces say."""
+        e = (self.own + self.kind @ self.alone)[word] + part + self.disguise[disguised.astype(np.int8)]
+        looked = (self.kind[:, 1:PLAIN].any(1))[word] | disguised | (e > 0.5)
         e[1:] += self.prev[word[:-1]]
         e[:-1] += self.next[word[1:]]
         if len(self.pairs):
@@ -192,151 +253,268 @@ class Field:
             at, k = at[hit], k[hit]
             e[at] += self.first[k]
             e[at + 1] += self.second[k]
+        edge = np.flatnonzero(np.diff(np.r_[False, around(looked, AROUND), False].astype(np.int8)))
+        ends = np.unique(np.r_[edge[::2], edge[1::2], bounds])  # stretches near a word of a kind, cut where texts end
+        a, b = ends[:-1], ends[1:]
+        keep = around(looked, AROUND)[np.minimum(a, len(word) - 1)] if len(word) else np.zeros(0, bool)
+        a, b = a[keep], b[keep]
+        at = 0
+        for i in range(1, len(a) + 1):  # some hundred thousand tokens at a time
+            if i == len(a) or b[i - 1] - a[at] > 200_000:
+                place = np.concatenate([np.arange(x, y) for x, y in zip(a[at:i], b[at:i])])
+                own = self.kind[word[place]]
+                e[place] += self.told(own, seen(own, np.repeat(np.arange(i - at), b[at:i] - a[at:i])))
+                at = i
         return e
 
+    def strong(self) -> np.ndarray:
+        """Numbers of the marked words."""
+        return np.array([i + 2 for i, w in enumerate(self.words) if w in self.marked], np.int64)
+
+    def told(self, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return ((own @ self.near.astype(np.float32)) * others).sum(1)
+
+
+def around(mask: np.ndarray, width: int) -> np.ndarray:
+    """Where ``mask`` holds within ``width`` places."""
+    total = np.r_[0, np.cumsum(mask)]
+    at = np.arange(len(mask))
+    return total[np.minimum(at + width + 1, len(mask))] > total[np.maximum(at - width, 0)]
+
+
+def seen(own: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """For each token which kinds other tokens of its stretch within ``AROUND`` places have."""
+    total = np.zeros((len(own) + 1, own.shape[1]), np.float32)
+    np.cumsum(own, 0, out=total[1:], dtype=np.float32)
+    at = np.arange(len(own))
+    lo = np.maximum(at - AROUND, np.searchsorted(stretch, stretch, "left"))
+    hi = np.minimum(at + AROUND + 1, np.searchsorted(stretch, stretch, "right"))
+    out = (total[hi] - total[lo] - own > 0.5).astype(np.float32)
+    out[:, 0] = 0
+    return out
+
 
 def posterior(e: np.ndarray, mask: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over rows of evidence (masked at their ends): marginals, expected steps, log normaliser."""
+    """Forward-backward over rows of evidence (masked at their ends): marginals, expected steps, log normaliser.
+
+    Both passes keep the two states' weights scaled to a sum of one; passages
+    begin anywhere, documents seldom with one.
+    """
     rows, length = e.shape
-    f = np.zeros((length, rows, 2))
-    b = np.zeros((length, rows, 2))
-    emit = np.stack([np.zeros_like(e), e], -1) * mask[..., None]
-    f[0] = emit[:, 0]
-    f[0, :, 1] -= 2.0  # passages begin anywhere, documents seldom with one
+    e = np.clip(e.T, -60, 60)
+    on = mask.T
+    w1 = 1 / (1 + np.exp(-e))
+    w0 = 1 - w1
+    w0 = np.where(e > 30, np.exp(-e), w0)
+    z = (np.logaddexp(0, e) * on).sum(0)
+    (t00, t01), (t10, t11) = np.exp(step)
+    f = np.zeros((length, rows))  # share of the second state
+    first0, first1 = w0[0], w1[0] * np.exp(-2.0)
+    total = first0 + first1
+    z += np.log(total)
+    f[0] = first1 / total
     for t in range(1, length):
-        new = np.logaddexp(f[t - 1, :, :1] + step[0], f[t - 1, :, 1:] + step[1]) + emit[:, t]
-        f[t] = np.where(mask[:, t, None], new, f[t - 1])
+        a1 = f[t - 1]
+        a0 = 1 - a1
+        n0, n1 = (a0 * t00 + a1 * t10) * w0[t], (a0 * t01 + a1 * t11) * w1[t]
+        total = n0 + n1
+        z += np.where(on[t], np.log(total), 0)
+        f[t] = np.where(on[t], n1 / total, a1)
+    g = np.full((length, rows), 0.5)
     for t in range(length - 2, -1, -1):
-        x = b[t + 1] + emit[:, t + 1]
-        new = np.logaddexp(x[:, :1] + step[:, 0], x[:, 1:] + step[:, 1])
-        b[t] = np.where(mask[:, t + 1, None], new, b[t + 1])
-    z = np.logaddexp(f[-1, :, 0], f[-1, :, 1])
-    p = np.exp(np.minimum(0, f[..., 1] + b[..., 1] - z)).T
-    pair = np.zeros((2, 2))
-    for i in range(2):
-        for j in range(2):
-            both = np.exp(np.minimum(0, f[:-1, :, i] + step[i, j] + emit.transpose(1, 0, 2)[1:, :, j] + b[1:, :, j] - z))
-            pair[i, j] = (both * mask.T[1:]).sum()
-    return p * mask, pair, z
+        x1 = g[t + 1] * w1[t + 1]
+        x0 = (1 - g[t + 1]) * w0[t + 1]
+        n0, n1 = t00 * x0 + t01 * x1, t10 * x0 + t11 * x1
+        g[t] = np.where(on[t + 1], n1 / (n0 + n1), 0.5)
+    both = f * g
+    p = both / (both + (1 - f) * (1 - g))
+    x1, x0 = g[1:] * w1[1:], (1 - g[1:]) * w0[1:]
+    a1, a0 = f[:-1], 1 - f[:-1]
+    joint = [[a0 * t00 * x0, a0 * t01 * x1], [a1 * t10 * x0, a1 * t11 * x1]]
+    scale = on[1:] / (joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1])
+    pair = np.array([[(x * scale).sum() for x in row] for row in joint])
+    return p.T * mask, pair, z
 
 
 # ---------------------------------------------------------------- training
 
 
-def _filled(line: str, k: int) -> str:
-    """A written passage with its slots filled, differently for each ``k``."""
-    slots = {"A": seeds.ADJECTIVES, "N": seeds.NOUNS, "G": ["Unknownia", "Qarnothi", "Zelburg"], "W": ["qwxy", "zzrt", "vrabx"]}
-    out, m = [], k
-    for part in re.split(r"\b([ANGW])\b", line):
-        if part in slots:
-            out.append(slots[part][m % len(slots[part])])
-            m = m * 7 + 3
-        else:
-            out.append(part)
-    return "".join(out)
+def _filled(line: str, lists: dict[str, list[str]], draw) -> str:
+    """A frame with its slots filled and one of the words of each choice."""
+    out = []
+    for token in line.split():
+        for slot in re.findall(r"\{(\w)\}", token):
+            token = token.replace("{" + slot + "}", lists[slot][int(draw(len(lists[slot])))].replace("_", " "), 1)
+        if "|" in token:
+            options = token.split("|")
+            token = options[int(draw(len(options)))]
+        out.append(token)
+    return " ".join(out)
 
 
 def labelled() -> list[list[tuple[str, int]]]:
-    """Tokens of the written passages with their labels; each frame with slots is repeated until all fillers occur."""
+    """Tokens of written passages and neutral sentences with their labels; a frame with slots is filled several times."""
+    rng = np.random.default_rng(7)
     out = []
-    for lines, times in ((seeds.ABUSE, 40), (seeds.THREATS, 4), (seeds.GROUPS, 4), (seeds.SEXUAL, 3), (seeds.OTHER_LANGUAGES, 4), (seeds.NEUTRAL, 4)):
-        for n, line in enumerate(lines):
-            for k in range(times):
-                row, label = [], 0
-                for token in _filled(line, k * 5 + n).replace("<<", " << ").replace(">>", " >> ").split():
-                    if token in ("<<", ">>"):
-                        label = int(token == "<<")
-                    elif row and not re.search(r"\w", token):
-                        continue
-                    else:
-                        row.append((token, label))
-                out.append(row)
+    for block, times, label in ((seeds.ABUSE, 14, 1), (seeds.GROUPS, 14, 1), (seeds.SEXUAL, 14, 1), (seeds.NEUTRAL, 14, 0)):
+        for lang, lines in block.items():
+            lists = {k: v.split() for k, v in seeds.LISTS[lang].items()}
+            for line in lines.strip().splitlines():
+                before, _, passage = line.rpartition("::")
+                for _ in range(times):
+                    row = [(t, 0) for t in before.split()] + [(t, label) for t in _filled(passage, lists, rng.integers).split()]
+                    out.append(row)
+                    if label and rng.random() < 0.15:  # of a longer passage
+                        other = lines.strip().splitlines()[int(rng.integers(lines.strip().count("\n") + 1))].rpartition("::")[2]
+                        out[-1] = row + [(t, 1) for t in _filled(other, lists, rng.integers).split()]
+    for line in seeds.OTHER.strip().splitlines():
+        out += [[(t, 1) for t in line.split()]] * 7
+    out += [[(w, 1)] for w in seeds.UNSPACED] * 4
     return out
 
 
-def plain(token: str) -> str:
-    return folded(_EDGE.sub("", token))
+def train(clean: list[str], rated: list[str] | tuple[str, ...] = ()) -> Field:
+    """A field from the written passages, clean texts and texts called toxic, the same for the same texts."""
+    key = zlib.crc32("\0".join([*clean, "\1", *rated]).encode("utf-8", "surrogatepass")), len(clean), len(rated)
+    if key not in _TRAINED:
+        kinds = kinds_of(clean)
+        rows = labelled()
+        field = _fit(rows, clean, kinds, None, ROUNDS)
+        found = sentences(field, list(rated))
+        _TRAINED.clear()
+        _TRAINED[key] = _fit(rows + [r for r in found for _ in range(3)], clean, kinds, field, AGAIN) if found else field
+    return _TRAINED[key]
 
 
-def train(clean: list[str]) -> Field:
-    """A field from the written passages and clean texts, the same for the same texts."""
-    rows = labelled()
-    inside = {plain(t) for r in rows for t, y in r if y}
-    words = sorted({plain(t) for r in rows for t, _ in r} - {"unknownia", "qarnothi", "zelburg", "qwxy", "zzrt", "vrabx", ""})
-    insults = {w for w in [*seeds.ADJECTIVES, *seeds.NOUNS] if len(w) > 2} | _strong(inside, rows)
-    field = Field(words, insults)
-    numbers = _Numbers(Speller(words, insults))
-    sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for k, r in enumerate(rows):
-        # patent words that are no part of the passage stand before and after it
-        w, d, _ = encode([" ".join(["qq", *(t for t, _ in r), "qq"])], numbers)
-        y = np.array([0, *(y for _, y in r), 0, 0])
-        if k % 6 == 5:  # a sixth of the passages is disguised
-            d = d | np.isin(w, [numbers.speller.number[x] for x in insults if x in numbers.speller.number])
-        sets.append((w, d, y))
-    for text in clean:
-        w, d, _ = encode([text], numbers)
-        sets += [(w[i : i + 40], d[i : i + 40], np.zeros(len(w[i : i + 40]), int)) for i in range(0, len(w), 40)]
-    # stretches without any known word teach nothing but the bias; one in twenty is kept
-    sets = [s for k, s in enumerate(sets) if k < len(rows) or (s[0] > SPELLED).any() or k % 20 == 0]
-    length = max(len(s[0]) for s in sets)
-    word, dis, lab, mask = (np.zeros((len(sets), length), t) for t in (np.int64, np.int64, np.int64, bool))
-    for i, (w, d, y) in enumerate(sets):
-        word[i, : len(w)], dis[i, : len(w)], lab[i, : len(w)], mask[i, : len(w)] = w, d, y, True
+_TRAINED: dict[tuple[int, int, int], Field] = {}
+
+
+def sentences(field: Field, texts: list[str]) -> list[list[tuple[str, int]]]:
+    """The sentence with the greatest mean marginal of each text, if that is at least ``LIKELY``, with the words around it."""
+    out = []
+    numbers = _Numbers(Speller(field.words, field.marked))
+    for text in texts:
+        word, disguised, ids, begins = encode([text], numbers)
+        part = field.token_part(numbers.pieces)[ids]
+        p = passages(field.evidence(word, disguised, part, begins), begins, field.step)
+        _, a, b, mean = found_spans(p, begins, np.isin(word, field.strong()))
+        if not len(mean) or mean.max() < LIKELY:
+            continue
+        tokens, k = text.split(), int(mean.argmax())
+        lo, hi = int(a[k]), int(b[k])
+        while lo and a[k] - lo < 6 and not re.search(r"[.!?:;]\W*$", tokens[lo - 1]):
+            lo -= 1
+        while hi < len(tokens) and hi - b[k] < 6 and not re.search(r"[.!?:;]\W*$", tokens[hi - 1]):
+            hi += 1
+        out.append([(t, int(lo <= i < hi)) for i, t in enumerate(tokens) if lo - 8 <= i < hi + 8])
+    return out
+
+
+def _fit(rows: list[list[tuple[str, int]]], clean: list[str], kinds: dict[str, list[int]], start: Field | None, rounds: int) -> Field:
+    words = sorted({plain(t) for r in rows for t, _ in r} | set(kinds) | set(seeds.UNSPACED) - {""})
+    insults = {w for w in kinds if len(w) > 3 and set(kinds[w]) & {1, 2, 6, 8}} | {w for w in kinds if len(w) > 3 and 7 in kinds[w] and w[:3] in ("fuc", "suc", "fic")} | set(seeds.UNSPACED)
+    field = Field(words, insults, kinds)
+    speller = Speller(words, insults)
+    numbers = _Numbers(speller)
+    if start is not None:  # go on from weights found before
+        old = {w: i + 2 for i, w in enumerate(start.words)}
+        for i, w in enumerate(words):
+            if w in old:
+                for name in ("own", "prev", "next"):
+                    getattr(field, name)[i + 2] = getattr(start, name)[old[w]]
+        field.piece[:], field.alone[:], field.near[:], field.disguise[:], field.step[:] = start.piece, start.alone, start.near, start.disguise, start.step
+    rng = np.random.default_rng(11)
+    filler = [t.split() for t in clean if t] or [["of", "the"]]
+    marks = np.array(sorted(speller.number[w] for w in insults))
+    texts, labels = [], []
+    for r in rows:
+        text = filler[int(rng.integers(len(filler)))]
+        at = int(rng.integers(len(text)))
+        before, after = text[max(0, at - int(rng.integers(1, 9))) : at], text[at : at + int(rng.integers(1, 9))]
+        own = " ".join(t for t, _ in r).split()
+        if len(texts) % 6 == 1 and len(own) > 3:  # a sixth of the sentences has words nobody knows
+            own = [t if rng.random() > 0.15 else "qx" for t in own]
+        texts.append(" ".join([*before, *own, *after]))
+        labels.append(np.array([0] * len(before) + [y for t, y in r for _ in t.split()] + [0] * (len(after) + 1)))
+    w, d, i, begins = encode([*texts, *clean], numbers)
+    sets: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    for k, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
+        if k < len(rows):
+            off = d[a:b] | (np.isin(w[a:b], marks) & (labels[k] > 0)) if k % 6 == 5 else d[a:b]  # a sixth of the passages is disguised
+            sets.append((w[a:b], off, labels[k], i[a:b]))
+        else:
+            sets += [(w[x : min(x + 40, b)], d[x : min(x + 40, b)], np.zeros(min(x + 40, b) - x, np.int64), i[x : min(x + 40, b)]) for x in range(a, b, 40)]
+    told = field.kind[:, 1:PLAIN].any(1)
+    # of stretches without any word of a kind one in five is kept
+    sets = [s for k, s in enumerate(sets) if k < len(rows) or told[s[0]].any() or k % 5 == 0]
+    word, dis, lab, ids = (np.concatenate([s[i] for s in sets]) for i in range(4))
+    stretch = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    size = np.bincount(stretch, minlength=len(sets))
+    begin = np.cumsum(size) - size
+    inner = np.flatnonzero(stretch[1:] == stretch[:-1])  # tokens with one after them
+    own = field.kind[word]
+    others = seen(own, stretch)
     n = field.n
-    both = mask[:, 1:] & (word[:, :-1] > SPELLED) & (word[:, 1:] > SPELLED)
-    codes = word[:, :-1] * n + word[:, 1:]
-    positive = np.isin(codes, np.unique(codes[both & ((lab[:, 1:] > 0) | (lab[:, :-1] > 0))]))
-    field.pairs = np.unique(codes[both & positive])
+    codes = word[inner].astype(np.int64) * n + word[inner + 1]
+    both = (word[inner] > SPELLED) & (word[inner + 1] > SPELLED)
+    field.pairs = np.unique(codes[both & ((lab[inner] > 0) & (lab[inner + 1] > 0))])
     field.first, field.second = np.zeros(len(field.pairs)), np.zeros(len(field.pairs))
-    pair_at = np.searchsorted(field.pairs, codes)
-    has_pair = both & positive
-    r_i, t_i = np.nonzero(has_pair)
-    pk = pair_at[r_i, t_i]
+    pk = np.minimum(np.searchsorted(field.pairs, codes), max(0, len(field.pairs) - 1))
+    has = both & (field.pairs[pk] == codes) if len(field.pairs) else np.zeros(len(inner), bool)
+    pk, pi = pk[has], inner[has]
+    sizes = np.array([len(s) for s in numbers.pieces], np.int64)
+    flat = np.fromiter((x for s in numbers.pieces for x in s), np.int64, int(sizes.sum()))
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    share = 1 / np.sqrt(np.maximum(1, sizes))
     truth = np.zeros((2, 2))
-    for i in range(2):
-        for j in range(2):
-            truth[i, j] = ((lab[:, :-1] == i) & (lab[:, 1:] == j) & mask[:, 1:]).sum()
-    params = [field.own, field.prev, field.next, field.first, field.second, field.disguise, field.step]
+    np.add.at(truth, (lab[inner], lab[inner + 1]), 1)
+    batches = []  # sequences of like length together, padded
+    order = np.argsort(size, kind="stable")
+    for part in np.array_split(order, 6):
+        width = int(size[part].max(initial=0))
+        mask = np.arange(width) < size[part][:, None]
+        batches.append((begin[part][:, None] + np.arange(width), mask))
+    params = [field.own, field.prev, field.next, field.first, field.second, field.disguise, field.step, field.piece, field.alone, field.near]
     squares = [np.full_like(p, 1e-6) for p in params]
-    for _ in range(ROUNDS):
-        e = field.own[word] + field.disguise[dis]
-        e[:, 1:] += field.prev[word[:, :-1]]
-        e[:, :-1] += np.where(mask[:, 1:], field.next[word[:, 1:]], 0)
-        np.add.at(e, (r_i, t_i), field.first[pk])
-        np.add.at(e, (r_i, t_i + 1), field.second[pk])
-        p, pair, _ = posterior(e, mask, field.step)
-        g = np.where(mask, lab - p, 0)
-        size = len(sets)
+    # words and pairs decay faster than kinds and pieces, which hold for words never seen as well
+    decays = [DECAY / 3] * 5 + [DECAY / 10] * 2 + [DECAY / 20, DECAY / 10, DECAY / 10]
+    for r in range(rounds):
+        e = (field.own + field.kind @ field.alone)[word] + field.disguise[dis.astype(np.int8)] + field.token_part(numbers.pieces)[ids] + field.told(own, others)
+        e[inner + 1] += field.prev[word[inner]]
+        e[inner] += field.next[word[inner + 1]]
+        e += np.bincount(pi, field.first[pk], len(e)) + np.bincount(pi + 1, field.second[pk], len(e))
+        p, pair = np.zeros(len(e)), np.zeros((2, 2))
+        for place, mask in batches:
+            q, x, _ = posterior(np.where(mask, e[np.minimum(place, len(e) - 1)], 0), mask, field.step)
+            p[place[mask]] = q[mask]
+            pair += x
+        g = lab - p
+        by_token = np.bincount(ids, g, len(sizes)) * share
         grads = [
-            np.bincount(word.ravel(), g.ravel(), n), np.bincount(word[:, :-1].ravel(), g[:, 1:].ravel(), n),
-            np.bincount(word[:, 1:].ravel(), np.where(mask[:, 1:], g[:, :-1], 0).ravel(), n),
-            np.bincount(pk, g[r_i, t_i], len(field.pairs)), np.bincount(pk, g[r_i, t_i + 1], len(field.pairs)),
-            np.bincount(dis.ravel(), g.ravel(), 2), truth - pair,
+            np.bincount(word, g, n), np.bincount(word[inner], g[inner + 1], n), np.bincount(word[inner + 1], g[inner], n),
+            np.bincount(pk, g[pi], len(field.pairs)), np.bincount(pk, g[pi + 1], len(field.pairs)),
+            np.bincount(dis.astype(np.int8), g, 2), truth - pair, np.bincount(flat, by_token[of], SLOTS),
+            g.astype(np.float32) @ own, own.T @ (g.astype(np.float32)[:, None] * others),
         ]
-        for q, s, d in zip(params, squares, grads):
-            d = d / size - DECAY / 10 * q
+        for q, s, d, decay in zip(params, squares, grads, decays):
+            d = d / len(sets) - decay * q
             s *= 0.95
             s += 0.05 * d * d
-            q += 0.06 * d / (np.sqrt(s) + 1e-5)
+            q += (0.08 * (1 - r / rounds) + 0.004) * d / (np.sqrt(s) + 1e-5)
     return field
 
 
-def _strong(inside: set[str], rows: list[list[tuple[str, int]]]) -> set[str]:
-    """Words that occur within passages and never in neutral text, long enough to be recognised in disguise."""
-    outside = {plain(t) for r in rows for t, y in r if not y}
-    return {w for w in inside - outside if len(w) > 3 and w.isalpha()}
-
-
 # ---------------------------------------------------------------- scoring
 
 
-def clean_sample(docs: DataFrame, labels: DataFrame, most: int = CLEAN_DOCS) -> list[str]:
-    """Texts of at most ``most`` documents that raters called clean and none called toxic, chosen by a hash of the id."""
-    ids = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("t")).where("t = 0")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").collect()
-    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+def rated_samples(docs: DataFrame, labels: DataFrame, clean: int = CLEAN_DOCS, toxic: int = TOXIC_DOCS) -> tuple[list[str], list[str]]:
+    """Texts of at most ``clean`` documents that no rater called toxic and at most ``toxic`` that more than half did, chosen by a hash of the id."""
+    votes = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("t"))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = votes.where("t = 0").orderBy(*order).limit(clean).unionByName(votes.where("t > 0.5").orderBy(*order).limit(toxic))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").collect()  # at most clean + toxic rows
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    return [r["text"] for r in rows if not r["t"]], [r["text"] for r in rows if r["t"]]
 
 
 def passages(e: np.ndarray, bounds: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -405,14 +583,15 @@ def toxicity(docs: DataFrame, field: Field, doc: str = "doc_id", text: str = "te
     def run(batches):
         speller = Speller(field.words, field.marked)
         numbers = _Numbers(speller)
-        insults = [speller.number[x] for x in field.marked if x in speller.number]
+        insults, part = field.strong(), np.zeros(0)
         for t in sized(batches, 1):
             ids, texts = column(t, doc), column(t, text).to_pylist()
             for s in blocks(texts, SHARD):
                 if len(numbers) > 500_000:
-                    numbers = _Numbers(speller)
-                word, disguised, begins = encode(texts[s], numbers)
-                p = passages(field.evidence(word, disguised), begins, field.step)
+                    numbers, part = _Numbers(speller), np.zeros(0)
+                word, disguised, ids_, begins = encode(texts[s], numbers)
+                part = np.r_[part, field.token_part(numbers.pieces[len(part) :])]
+                p = passages(field.evidence(word, disguised, part[ids_], begins), begins, field.step)
                 score = np.maximum.reduceat(p, begins[:-1]) * 0.499
                 k, a, b, mean = found_spans(p, begins, np.isin(word, insults))
                 np.maximum.at(score, k, mean)

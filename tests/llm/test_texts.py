@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pointloom.llm import fmindex, leaks, packing, textcodes, toxic
+from pointloom.llm import toxic_seeds as seeds
 
 DOCS = "doc_id long, text string, source string"
 
@@ -204,7 +206,12 @@ def test_token_counts(spark):
 
 @pytest.fixture(scope="module")
 def field():
-    return toxic.train(["The bolt is fastened to the frame by means of a screw. A seal of rubber closes the gap between the two plates."] * 3)
+    return toxic.train(
+        ["The bolt is fastened to the frame by means of a screw. A seal of rubber closes the gap between the two plates."] * 3
+        + ["Der Bolzen wird mit einer Schraube am Rahmen befestigt. Die Dichtung schließt den Spalt und wird durch Druck gehalten."] * 3
+        + ["Le boulon est fixé au cadre par une vis. Le joint ferme l'espace entre les plaques."] * 2
+        + ["El perno se sujeta al marco con un tornillo. La junta cierra el hueco entre las placas."] * 2
+    )
 
 
 ABUSIVE = [
@@ -231,7 +238,7 @@ def test_held_out_passages(spark, field):
     df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).repartition(3)
     got = {r.doc_id: r for r in toxic.toxicity(df, field).collect()}
     assert set(got) == {r[0] for r in rows}
-    found = {i for i, r in got.items() if r.score >= 0.5}
+    found = {i for i, r in got.items() if r.score >= toxic.FOUND}
     assert found & set(range(100, 201)) == set()
     assert 201 in found and len(found & set(range(len(ABUSIVE)))) == len(ABUSIVE), sorted(set(range(len(ABUSIVE))) - found)
     r = got[0]
@@ -265,11 +272,47 @@ def test_speller(field):
         assert s.read(raw)[0] == toxic.UNKNOWN or s.read(raw)[0] in number.values()
 
 
-def test_clean_sample_is_bounded(spark):
+def test_rated_samples_are_bounded(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "s") for i in range(20)], DOCS)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(2, 1), (None, 0), (4, None)], "doc_id long, toxic int")
-    got = toxic.clean_sample(docs, labels, 5)
-    assert len(got) == 5 and "text 2" not in got and all(int(t.split()[1]) % 2 == 0 for t in got)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(2, 1), (3, 0), (5, 1), (None, 0), (4, None)], "doc_id long, toxic int")
+    clean, rated = toxic.rated_samples(docs, labels, 5, 4)
+    assert len(clean) == 5 and "text 2" not in clean and all(int(t.split()[1]) % 2 == 0 for t in clean)
+    assert len(rated) == 4 and "text 3" not in rated and all(int(t.split()[1]) % 2 for t in rated)
+
+
+HELD_OUT = [line.rstrip("\n").split("\t") for line in open(os.path.join(os.path.dirname(__file__), "held_out.txt"), encoding="utf-8") if not line.startswith("#")]
+
+
+def test_recall_on_held_out_passages(spark):
+    """Passages never used for training: at least 0.9 found in each of four languages' sum, at most a sixth of neutral ones."""
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.exists(f"{sf_dir}/documents.parquet"):
+        pytest.skip("no rated documents to train on")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "doc_labels"))
+    clean, rated = toxic.rated_samples(docs, labels)
+    trained = toxic.train(clean, rated)
+    filler = "the seal closes the gap between the two plates and the valve opens again when the pressure falls . "
+    df = spark.createDataFrame([(i, filler + t + " " + filler, "s") for i, (_, t) in enumerate(HELD_OUT)], DOCS)
+    score = {r.doc_id: r.score for r in toxic.toxicity(df, trained).collect()}
+    bad = [score[i] >= toxic.FOUND for i, (lang, _) in enumerate(HELD_OUT) if lang != "ok"]
+    fine = [score[i] >= toxic.FOUND for i, (lang, _) in enumerate(HELD_OUT) if lang == "ok"]
+    print("held out: found", sum(bad), "of", len(bad), "and", sum(fine), "neutral of", len(fine))
+    assert len(bad) >= 200 and sum(bad) >= 0.9 * len(bad) and sum(fine) <= len(fine) / 6
+
+
+def test_training_text_is_not_in_the_tables():
+    """No written passage of three or more words without slots stands in a document."""
+    import duckdb
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents")
+    lines = [ln.rpartition("::")[2].strip() for b in (seeds.ABUSE, seeds.GROUPS, seeds.SEXUAL, seeds.NEUTRAL) for v in b.values() for ln in v.strip().splitlines()]
+    lines += seeds.OTHER.strip().splitlines()
+    whole = [ln for ln in lines if "{" not in ln and "|" not in ln and len(ln.split()) >= 4]
+    text = "\n".join(t.lower() for (t,) in duckdb.sql(f"select text from '{path}'").fetchall())
+    print([ln for ln in whole if ln.lower() in text])
+    assert not [ln for ln in whole if ln.lower() in text]
 
 
 def test_short_passages_count(spark):
@@ -287,5 +330,6 @@ def test_short_insults_are_found(spark, field):
     texts = ["fuck off", "shut up", fill + "Fuck off! " + fill, "you are kind", "thank you", fill]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r.doc_id: r for r in toxic.toxicity(df, field).collect()}
-    assert {d for d, r in rows.items() if r.score >= 0.5} == {0, 1, 2}
-    assert [texts[2][a:b] for a, b in zip(rows[2].starts, rows[2].ends)] == ["Fuck off!"]
+    assert {d for d, r in rows.items() if r.score >= toxic.FOUND} == {0, 1, 2}
+    spans = [texts[2][a:b] for a, b in zip(rows[2].starts, rows[2].ends)]
+    assert len(spans) == 1 and spans[0].endswith("Fuck off!") and len(spans[0].split()) <= 3  # a neighbouring word may be taken in
