@@ -1,10 +1,12 @@
-"""Evaluation passages inside documents: FM-index per shard, located phrases, exact alignment.
+"""Evaluation passages inside documents: FM-index per shard, located pairs of words, exact alignment.
 
-A shard of documents becomes a sequence of the passages' words (any other word
-ends a run) under an FM-index.  Every phrase of ``PHRASE`` words of every passage
-is searched backward and all its places are located.  Phrases of one passage
-close together in one document call for an alignment of passage and text, which
-alone decides; aligned pieces give the spans to remove.
+A shard of documents becomes the sequence of its telling words - those among the
+rarer ones of some passage - under an FM-index; all other words vanish, so that
+words put in, left out or changed leave their neighbours next to each other.
+Every two telling words up to ``SKIP`` apart in a passage are searched backward
+and all their places are located.  Several such pairs of one passage close
+together in one document call for an alignment of passage and text, which alone
+decides; aligned pieces give the spans to remove.
 """
 
 from __future__ import annotations
@@ -17,15 +19,15 @@ from pointloom.llm.fmindex import FMIndex
 from pointloom.llm.runs import column, expand, sized
 from pointloom.llm.textcodes import blocks, words
 
-#: Words of a searched phrase.
-PHRASE = 3
-#: Different phrases of a passage that must occur near each other before it is aligned.
+#: Share of a passage's words, the rarest in the shard, that are telling; telling words two of which up to so many apart are searched as a pair.
+TELLING, SKIP = 0.6, 4
+#: Different pairs of a passage that must occur near each other before it is aligned.
 SEEDS = 2
 #: Words of text up to which pieces of a passage count as near each other.
 NEAR = 120
 #: Matching words that make a piece, and what a word in only one of both costs within it.
 PIECE, COST = 3, 0.25
-#: Characters of a shard, and passages looked for at once.
+#: Characters of a shard, and passages looked for at once in its index.
 SHARD, ITEMS = 6_000_000, 4_000
 
 _OUT = "item_id long, doc_id long, matched int, n_words int, starts array<int>, ends array<int>"
@@ -40,99 +42,115 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
     may be missing, foreign or changed.  ``starts`` and ``ends`` are the merged
     character spans of the pieces of all places in the document that hold that
     share, ``matched`` is the most of one place.  Null or empty texts and
-    passages and null ids match nothing; passages of fewer than ``PHRASE`` words
-    can't be found.  A document or item given twice comes out twice.  Passages
-    are sent to all tasks ``ITEMS`` at a time, whatever their number.
+    passages and null ids match nothing; passages of fewer than ``PIECE`` words
+    can't be found.  A document or item given twice comes out twice.  Documents
+    are read and indexed once, whatever the number of passages; the passages, a
+    test set, reach the driver and every task as one broadcast.
     """
-    out, held = None, []
-    for row in items.where(f"{item} is not null and {passage} is not null").select(item, passage).toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) >= ITEMS:
-            part = _scan(docs, held, doc, text, share)
-            out, held = part if out is None else out.unionByName(part), []
-    if held or out is None:
-        part = _scan(docs, held, doc, text, share)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = [(r[0], r[1]) for r in items.where(f"{item} is not null and {passage} is not null").select(item, passage).collect()]
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches):
+        p = Passages(sent.value)
+        for t in sized(batches, 1):
+            ids, texts = column(t, doc), column(t, text).to_pylist()
+            for s in blocks(texts, SHARD):
+                found = shard(texts[s], p, share)
+                if found:
+                    k, d, matched, n, starts, ends = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p.ids[i] for i in k], pa.int64()), ids.slice(s.start).take(pa.array(d)).cast(pa.int64()), pa.array(matched, pa.int32()), pa.array(n, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
+                        ["item_id", "doc_id", "matched", "n_words", "starts", "ends"],
+                    )
+
+    return docs.where(f"{doc} is not null and {text} is not null").select(doc, text).mapInArrow(run, _OUT)
 
 
 class Passages:
-    """Passages as symbols from 1, and their phrases with the places they stand at."""
+    """Passages as symbols from 1, one after another: ``flat``, of passage ``owner``; its first is ``begin``."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         w = words([p for _, p in rows])
         self.ids = [i for i, _ in rows]
         self.vocabulary, symbol = np.unique(w.code, return_inverse=True)
-        self.symbols = [symbol[a:b] + 1 for a, b in zip(w.bounds[:-1], w.bounds[1:])]
-        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, s in enumerate(self.symbols):
-            for at in range(len(s) - PHRASE + 1):
-                found.setdefault(tuple(s[at : at + PHRASE].tolist()), []).append((k, at))
-        self.phrases = np.array(list(found), np.int64).reshape(-1, PHRASE)
-        places = [np.array(v) for v in found.values()]
-        self.starts = np.cumsum([0, *map(len, places)])
-        self.item, self.at = (np.concatenate(places).T if places else np.zeros((2, 0), np.int64))
+        self.flat = symbol.astype(np.int64) + 1
+        self.length = np.diff(w.bounds)
+        self.begin = w.bounds[:-1]
+        self.owner = np.repeat(np.arange(len(rows)), self.length)
         self.masks: dict[int, dict[int, int]] = {}
 
+    def symbols(self, k: int) -> np.ndarray:
+        return self.flat[self.begin[k] : self.begin[k] + self.length[k]]
+
     def mask(self, k: int) -> dict[int, int]:
         """For each symbol of passage k the bits of its places."""
         if k not in self.masks:
             m: dict[int, int] = {}
-            for at, s in enumerate(self.symbols[k].tolist()):
+            for at, s in enumerate(self.symbols(k).tolist()):
                 m[s] = m.get(s, 0) | 1 << at
             self.masks[k] = m
         return self.masks[k]
 
+    def telling(self, count: np.ndarray) -> np.ndarray:
+        """For each symbol whether it is among the ``TELLING`` rarest words of a passage, by how often symbols occur."""
+        order = np.lexsort((self.flat, count[self.flat], self.owner))
+        rank = np.arange(len(order)) - self.begin[self.owner]  # sorted by owner first, so places are the passages' own
+        out = np.zeros(len(self.vocabulary) + 1, bool)
+        out[self.flat[order[rank < np.ceil(TELLING * self.length)[self.owner]]]] = True
+        return out
 
-def _scan(docs: DataFrame, rows: list[tuple[int, str]], doc: str, text: str, share: float) -> DataFrame:
-    def run(batches):
-        p = Passages(rows)
-        for t in sized(batches, 1):
-            ids, texts = column(t, doc), column(t, text).to_pylist()
-            for s in blocks(texts, SHARD):
-                found = shard(texts[s], p, share)
-                if found:
-                    k, d, matched, n, starts, ends = zip(*found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p.ids[i] for i in k], pa.int64()), ids.slice(s.start).take(pa.array(d)).cast(pa.int64()), pa.array(matched, pa.int32()), pa.array(n, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-                        ["item_id", "doc_id", "matched", "n_words", "starts", "ends"],
-                    )
-
-    return docs.where(f"{doc} is not null and {text} is not null").select(doc, text).mapInArrow(run, _OUT)
+    def pairs(self, telling: np.ndarray, some: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different pairs of telling words of passages ``some``; where each one's uses start, and passage and place of each use."""
+        at = np.flatnonzero(telling[self.flat] & (self.owner >= some.start) & (self.owner < some.stop))
+        first, second = [], []
+        for d in range(1, SKIP + 1):
+            ok = np.flatnonzero(self.owner[at[:-d]] == self.owner[at[d:]]) if len(at) > d else np.zeros(0, np.int64)
+            first.append(at[ok])
+            second.append(at[ok + d])
+        gap = np.repeat(np.arange(1, SKIP + 1), [len(x) for x in first])
+        first, second = np.concatenate(first), np.concatenate(second)
+        code, use = np.unique(self.flat[first] * (len(telling) + 1) + self.flat[second], return_inverse=True)
+        order = np.argsort(use, kind="stable")
+        starts = np.r_[0, np.cumsum(np.bincount(use, minlength=len(code)))].astype(np.int64)
+        pair = np.stack([code // (len(telling) + 1), code % (len(telling) + 1)], 1)
+        return pair, starts, self.owner[first[order]], first[order] * (SKIP + 1) + gap[order]
 
 
-def candidates(symbol: np.ndarray, bounds: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(symbol: np.ndarray, bounds: np.ndarray, p: Passages) -> list[tuple[int, int, int, int]]:
     """Windows of words to align: passage, document, first and end word."""
-    none = (np.zeros(0, np.int64),) * 4
-    if not len(p.phrases) or not len(symbol):
-        return none
+    if not len(p.flat) or not len(symbol):
+        return []
+    telling = p.telling(np.bincount(symbol, minlength=len(p.vocabulary) + 1))
+    keep = telling[symbol]
     inner = bounds[1:-1]
-    seq, word = np.insert(symbol, inner, 0), np.insert(np.arange(len(symbol)), inner, -1)
-    # runs that are shorter than a phrase hold none
-    cut = np.flatnonzero(np.r_[True, (seq[1:] > 0) != (seq[:-1] > 0)])
-    sizes = np.diff(np.r_[cut, len(seq)])
-    keep = np.repeat((seq[cut] > 0) & (sizes >= PHRASE), sizes)
-    keep |= np.r_[False, keep[:-1]] & (seq == 0)
-    seq, word = seq[keep], word[keep]
-    fm = FMIndex(seq, len(p.vocabulary))
-    which, place = fm.locate(*fm.search(p.phrases))
-    hit, use = expand(p.starts[which], p.starts[which + 1])
-    item, at, pos = p.item[use], p.at[use], word[place[hit]]
-    d = np.searchsorted(bounds, pos, "right") - 1
-    o = np.lexsort((pos, item, d))
-    item, at, pos, d = item[o], at[o], pos[o], d[o]
-    if not len(item):
-        return none
-    new = np.r_[True, (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (pos[1:] - pos[:-1] > NEAR)]
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    kinds = np.bincount(np.unique(group * (1 << 32) + at) >> 32, minlength=len(first))
-    length = np.array([len(s) for s in p.symbols])
-    last = np.r_[first[1:], len(pos)] - 1
-    lo = np.maximum(pos[first] - length[item[first]], bounds[d[first]])
-    hi = np.minimum(pos[last] + length[item[first]] + PHRASE, bounds[d[first] + 1])
-    ok = kinds >= SEEDS
-    return item[first][ok], d[first][ok], lo[ok], hi[ok]
+    kept = np.flatnonzero(keep)
+    # a 0 between documents
+    at = np.searchsorted(kept, inner)
+    fm = FMIndex(np.insert(symbol[kept], at, 0), len(p.vocabulary))
+    word = np.insert(kept, at, -1)
+    out = []
+    for lo in range(0, len(p.ids), ITEMS):
+        pair, starts, item, place_of = p.pairs(telling, slice(lo, lo + ITEMS))
+        if not len(pair):
+            continue
+        which, place = fm.locate(*fm.search(pair))
+        hit, use = expand(starts[which], starts[which + 1])
+        k, kind, pos = item[use], place_of[use], word[place[hit]]
+        d = np.searchsorted(bounds, pos, "right") - 1
+        o = np.lexsort((pos, k, d))
+        k, kind, pos, d = k[o], kind[o], pos[o], d[o]
+        if not len(k):
+            continue
+        new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (pos[1:] - pos[:-1] > NEAR + p.length[k[1:]])]
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        kinds = np.bincount(np.unique(np.stack([group, kind], 1), axis=0)[:, 0], minlength=len(first)) if len(first) < len(k) else np.ones(len(first), np.int64)
+        last = np.r_[first[1:], len(pos)] - 1
+        ok = np.flatnonzero(kinds >= SEEDS)
+        first, last = first[ok], last[ok]
+        a = np.maximum(pos[first] - p.length[k[first]], bounds[d[first]])
+        b = np.minimum(pos[last] + p.length[k[first]] + PIECE, bounds[d[first] + 1])
+        out += zip(k[first].tolist(), d[first].tolist(), a.tolist(), b.tolist())
+    return out
 
 
 def shard(texts: list[str], p: Passages, share: float) -> list[tuple]:
@@ -143,9 +161,9 @@ def shard(texts: list[str], p: Passages, share: float) -> list[tuple]:
     symbol = np.where(p.vocabulary[at] == w.code, at + 1, 0)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     spans: dict[tuple[int, int], set[tuple[int, int]]] = {}
-    for k, d, lo, hi in zip(*(a.tolist() for a in candidates(symbol, w.bounds, p))):
-        n = len(p.symbols[k])
-        for matched, places in occurrences(p.symbols[k], p.mask(k), symbol[lo:hi], share * n):
+    for k, d, lo, hi in candidates(symbol, w.bounds, p):
+        n = int(p.length[k])
+        for matched, places in occurrences(p.symbols(k), p.mask(k), symbol[lo:hi], share * n):
             best[k, d] = (max(matched, best.get((k, d), (0,))[0]), n)
             spans.setdefault((k, d), set()).update((int(w.start[lo + a]), int(w.end[lo + b - 1])) for a, b in places)
     return [(*key, *v, *merged(spans[key])) for key, v in best.items()]
@@ -164,7 +182,7 @@ def occurrences(passage: np.ndarray, mask: dict[int, int], text: np.ndarray, lea
         if part in seen or np.count_nonzero(s) < max(least, PIECE) or common(s[s > 0].tolist(), mask, len(passage)) < least:
             continue
         seen.add(part)
-        pieces = align(passage, s)
+        pieces = near(align(passage, s))
         matched = sum(m for m, *_ in pieces)
         if pieces and matched >= least:
             places = sorted((lo + a, lo + b) for _, a, b in pieces)
@@ -173,6 +191,18 @@ def occurrences(passage: np.ndarray, mask: dict[int, int], text: np.ndarray, lea
     return out
 
 
+def near(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The largest piece and those before and after it with gaps of at most ``NEAR`` words between them."""
+    if not pieces:
+        return []
+    lo = hi = max(range(len(pieces)), key=lambda i: pieces[i][0])
+    while lo and pieces[lo][1] - pieces[lo - 1][2] <= NEAR:
+        lo -= 1
+    while hi + 1 < len(pieces) and pieces[hi + 1][1] - pieces[hi][2] <= NEAR:
+        hi += 1
+    return pieces[lo : hi + 1]
+
+
 def merged(spans: set[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of spans in order, overlapping ones made one."""
     starts, ends = [], []

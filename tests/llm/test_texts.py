@@ -112,6 +112,56 @@ def test_leaks(spark, monkeypatch):
     assert leaks.leaked(docs, items.limit(0)).count() == 0
 
 
+def edits(w, rng):
+    """Ways to write a passage that keep at least half of its words in their order, and ones that don't."""
+    n, new = len(w), lambda: "zq" + "".join(rng.choice(list("bcdfgklm"), 5))
+    yield "third replaced", [x if i % 3 else new() for i, x in enumerate(w)], True
+    yield "word after every second", [y for i, x in enumerate(w) for y in ([x, new()] if i % 2 else [x])], True
+    keep = set(rng.choice(n, -(-n * 6 // 10), replace=False).tolist())
+    yield "six tenths at random", [x for i, x in enumerate(w) if i in keep], True
+    yield "six tenths, others replaced", [x if i in keep else new() for i, x in enumerate(w)], True
+    third = n // 3
+    yield "pieces apart", [*w[:third], *[new() for _ in range(100)], *w[-third - 1 :]], True
+    yield "four tenths", w[: int(n * 0.4)], False
+    yield "other order", rng.permutation(w).tolist(), False
+
+
+def test_recall_on_edited_passages():
+    """Of passages of which every kind of edit keeps at least half at least 0.95 are found, and no other."""
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{sf_dir}/eval_items.parquet"):
+        pytest.skip("no passages")
+    rows = duckdb.sql(f"select item_id, passage from '{sf_dir}/eval_items.parquet' where passage is not null order by 1").fetchall()
+    filler = [t for (t,) in duckdb.sql(f"select text from '{sf_dir}/documents.parquet' where lang = 'en' and text is not null order by doc_id limit 150").fetchall()]
+    rng, texts, want, kinds = np.random.default_rng(5), [], set(), {}
+    p = leaks.Passages(rows)
+    for k, (_, passage) in enumerate(rows):
+        w = textcodes_words(passage)
+        if len(w) < 12:
+            continue
+        for name, new, is_case in edits(w, rng):
+            f = filler[len(texts) % len(filler)].split()
+            cut = len(f) // 2
+            kinds[k, len(texts)] = name
+            if is_case:
+                want.add((k, len(texts)))
+            texts.append(" ".join([*f[:cut], *new, *f[cut:]]))
+    found = set()
+    for lo in range(0, len(texts), 300):
+        found |= {(k, d + lo) for k, d, *_ in leaks.shard(texts[lo : lo + 300], p, 0.5)}
+    by = Counter(kinds[x] for x in found & want)
+    print({name: (by[name], sum(kinds[x] == name for x in want)) for name in dict.fromkeys(kinds.values())}, "other:", Counter(kinds.get(x, "filler") for x in found - want))
+    assert all(by[name] >= 0.95 * sum(kinds[x] == name for x in want) for name in {kinds[x] for x in want})
+    assert not [x for x in found - want if x in kinds]
+
+
+def textcodes_words(text):
+    w = textcodes.words([text])
+    return [text[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
