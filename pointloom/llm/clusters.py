@@ -23,12 +23,16 @@ from pointloom.session import materialize, small
 
 #: Odd factor of the multiplicative hash that gives a component its slot; with a power of two as ``dims`` no two of the first ``dims`` collide.
 SLOT = 2654435761
+#: Odd factor of the hash that gives a component its sign.
+SIGN = 2246822519
+#: Records to a centre, and the fewest and most centres; beyond the most, cells grow.
+CELL, FEWEST, MOST = 1_500, 64, 4_096
 #: Rows of a cell that one task holds of either side.
 SIDE = 20_000
 
 
-def hashed_vectors(rows: DataFrame, key: str, values: str, dims: int = 32, length: int | None = None) -> DataFrame:
-    """``id, vec``: unit vectors of ``dims`` slots, component j of ``values`` added to slot ``hash(j)``.
+def hashed_vectors(rows: DataFrame, key: str, values: str, dims: int = 32, length: int | None = None, weights: list[float] | None = None) -> DataFrame:
+    """``id, vec``: unit vectors of ``dims`` slots, component j of ``values`` times ``weights[j]`` (1 without) added to slot ``hash(j)`` with a hashed sign.
 
     Null components are zero.  Null arrays, arrays of another ``length`` if one
     is asked, with NaN or infinite entries or without any other than zero are
@@ -46,7 +50,8 @@ def hashed_vectors(rows: DataFrame, key: str, values: str, dims: int = 32, lengt
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             owner, place = expand(np.zeros(len(sizes), np.int64), sizes)
             out = np.zeros((len(sizes), dims))
-            np.add.at(out, (owner, (place * SLOT) % dims), flat)
+            sign = 1.0 - 2.0 * (((place * SIGN) >> 16) & 1)
+            np.add.at(out, (owner, (place * SLOT) % dims), flat * sign * (1.0 if weights is None else np.array([*weights, 1.0])[np.minimum(place, len(weights))]))
             # scaled before squaring, so that neither end of the range of doubles is lost
             with np.errstate(all="ignore"):
                 most = np.abs(out).max(1, initial=0)
@@ -58,6 +63,11 @@ def hashed_vectors(rows: DataFrame, key: str, values: str, dims: int = 32, lengt
     return t.mapInArrow(make, f"id {dict(t.dtypes)['id']}, vec array<double>")
 
 
+def centres_for(n: int) -> int:
+    """Centres for ``n`` records, so that cells hold about as many whatever the size."""
+    return min(MOST, max(FEWEST, -(-n // CELL)))
+
+
 def vectors(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
@@ -217,7 +227,7 @@ def mutual_clusters(data: DataFrame, centres: np.ndarray, dims: int, cosine: flo
     aggregation however large it is; only rows outside it and visitors are compared
     with the cell, in blocks of ``SIDE`` rows.  Each row gets number, smallest id and
     hash sum of the rows similar to it, and a cluster is a set of rows that agree in
-    all three and are as many as the number says.
+    all three, are as many as the number says and whose own hashes have that sum.
     """
     limit = math.acos(cosine)
     k = len(centres)
@@ -287,7 +297,8 @@ def mutual_clusters(data: DataFrame, centres: np.ndarray, dims: int, cosine: flo
     tested = apply_groups(left.select(cols).unionByName(right.select(cols)), ["cell", "i", "j"], compare, f"id {kind}, n long, m {kind}, hs long")
     per = sure.unionByName(tested).groupBy("id").agg(F.sum("n").alias("n"), F.min("m").alias("m"), F.sum("hs").alias("hs"))
     per = materialize(per.where(F.col("n") >= least))
-    groups = per.groupBy("m", "n", "hs").agg(F.count(F.lit(1)).alias("c")).where("c = n").drop("c")
+    own = F.sum(F.shiftright(F.xxhash64("id"), 20))
+    groups = per.groupBy("m", "n", "hs").agg(F.count(F.lit(1)).alias("c"), own.alias("own")).where("c = n and own = hs").drop("c", "own")
     return per.join(small(groups), ["m", "n", "hs"]).select(F.col("m").alias("cluster_key"), "id")
 
 

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.runs import changes, column, expand, sized, slabs
-from pointloom.session import materialize, small
+from pointloom.session import BROADCAST_ROWS, materialize, small
 
 #: Codes sorted in memory at once: a run.
 RUN = 4_000_000
+#: Items of a basket above which its pairs are made by several tasks, from two pieces of that many items each.
+PIECE = 2_000
 
 
 def pair_counts(rows: DataFrame, basket: list[str], item: str, min_count: int = 1, one_in: int = 0) -> DataFrame:
@@ -31,25 +33,41 @@ def pair_counts(rows: DataFrame, basket: list[str], item: str, min_count: int =
     all (0: no such bound), are left out: their items are dropped from baskets
     first if already too rare by themselves, which loses no other pair and leaves
     at most ``one_in`` times the mean basket size different items, however many
-    there are.  ``log_odds`` is the log odds ratio with half a basket added to
+    there are.  Items are integers from 0 to 2^31 - 1, others raise an error.  A
+    basket of more than ``PIECE`` different items is cut into pieces, and each two
+    of them are a unit of work of their own.  ``log_odds`` is the log odds ratio with half a basket added to
     each cell.
     """
-    sets = rows.where(F.col(item).isNotNull()).groupBy(*basket).agg(F.sort_array(F.collect_set(F.col(item).cast("int"))).alias("items"))
+    fits = F.col(item).cast("long").between(0, (1 << 31) - 1)
+    number = F.when(fits, F.col(item)).otherwise(F.raise_error(F.lit("items are integers from 0 to 2^31 - 1"))).cast("int")
+    sets = rows.where(F.col(item).isNotNull()).groupBy(*basket).agg(F.sort_array(F.collect_set(number)).alias("items"))
     sets = materialize(sets.select("items"))
     n = sets.count()
     least = max(min_count, -(-n // one_in) if one_in else 1)
     singles = materialize(sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item")))
     kept = singles.where(F.col("n_item") >= least)
 
+    keep = None
     if least > 1:
-        # The kept items; a set within its baskets' mean size times n / least, see above.
-        keep = np.sort(np.array([r[0] for r in kept.select("item").toLocalIterator()], np.int64))
-    else:
-        keep = None
+        few = kept.select("item").limit(BROADCAST_ROWS + 1).collect()
+        if len(few) <= BROADCAST_ROWS:
+            keep = np.sort(np.array([r[0] for r in few], np.int64))
+        else:  # too many for the driver: a join leaves them in the baskets
+            each = sets.withColumn("b", F.monotonically_increasing_id()).select("b", F.explode("items").alias("item"))
+            sets = materialize(each.join(kept.select("item"), "item").groupBy("b").agg(F.sort_array(F.collect_list("item")).alias("items")).select("items"))
 
     def runs(batches):
         held, many = [], 0
         for t in sized(batches, 50_000):
+            if "others" in t.column_names:  # two pieces of one basket: every item of the first with every item of the second
+                for x, y in zip(t.column("items").to_pylist(), t.column("others").to_pylist()):
+                    x, y = (np.array(v, np.int64) if keep is None else np.intersect1d(v, keep).astype(np.int64) for v in (x, y))
+                    held.append(((x[:, None] << 32) | y[None, :]).ravel())
+                    many += len(held[-1])
+                    if many >= RUN:
+                        yield counted(np.concatenate(held))
+                        held, many = [], 0
+                continue
             lists = column(t, "items")
             values, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -87,7 +105,15 @@ def pair_counts(rows: DataFrame, basket: list[str], item: str, min_count: int =
             yield pa.RecordBatch.from_arrays([pa.array([code], pa.int64()), pa.array([total], pa.int64())], ["code", "k"])
 
     schema = "code long, k long"
-    pairs = sets.mapInArrow(runs, schema).repartition("code").sortWithinPartitions("code").mapInArrow(merged, schema).where(F.col("k") >= least)
+    large = F.size("items") > PIECE
+    made = sets.where(~large).mapInArrow(runs, schema)
+    if sets.where(large).limit(1).count():
+        pieces = sets.where(large).withColumn("n", F.ceil(F.size("items") / PIECE).cast("int"))
+        cut = lambda i: F.slice("items", F.col(i) * PIECE + 1, F.lit(PIECE))
+        pieces = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("n") - 1)))
+        pieces = pieces.select(cut("i").alias("items"), cut("j").alias("others"), (F.col("i") == F.col("j")).alias("same")).repartition(F.xxhash64("items", "others"))
+        made = made.unionByName(pieces.where("not same").select("items", "others").mapInArrow(runs, schema)).unionByName(pieces.where("same").select("items").mapInArrow(runs, schema))
+    pairs = made.repartition("code").sortWithinPartitions("code").mapInArrow(merged, schema).where(F.col("k") >= least)
     pairs = pairs.select(F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), F.col("k").alias("n_ab"))
     known = small(kept)
     pairs = pairs.join(known.select(F.col("item").alias("a"), F.col("n_item").alias("n_a")), "a").join(known.select(F.col("item").alias("b"), F.col("n_item").alias("n_b")), "b")

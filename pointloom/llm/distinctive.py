@@ -8,20 +8,24 @@ of all occurrences.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.session import materialize, small
 
 
-def term_scores(rows: DataFrame, record: str, term: str, amount: str, row_id: str | None = None, mu: float = 100.0, min_records: int = 1) -> DataFrame:
+def term_scores(rows: DataFrame, record: str, term: str, amount: str, row_id: str | None = None, mu: float = 100.0, min_records: int = 1, share: float | None = None) -> DataFrame:
     """``record, term, tf, record_total, records, n_records, score`` for each term with a count above zero.
 
     Rows of one ``row_id`` count once (a null id is its own row).  Null counts
     are 0; rows with a null term count neither in a term nor in a record's total,
     but their record is one of ``n_records``.  Rows with a null record are left
     out.  Terms in fewer than ``min_records`` records get no row, though they
-    stay part of totals and of the collection's distribution.
+    stay part of totals and of the collection's distribution.  With ``share``
+    only terms come out that score at least what this term would score if it were
+    that share of the record, which a term with that share or more always does.
     """
     base = rows.where(F.col(record).isNotNull())
     n_records = base.select(record).distinct().count()
@@ -40,4 +44,10 @@ def term_scores(rows: DataFrame, record: str, term: str, amount: str, row_id: st
     out = tf.join(known, "term").join(sizes, "record")
     c = F.col("term_total") / F.lit(float(whole))
     p = (F.col("tf") + mu * c) / (F.col("record_total") + F.lit(mu))
-    return out.select("record", "term", "tf", "record_total", "records", F.lit(n_records).cast("long").alias("n_records"), (p * F.log(p / c)).alias("score"))
+    out = out.select("record", "term", "tf", "record_total", "records", F.lit(n_records).cast("long").alias("n_records"), (p * F.log(p / c)).alias("score"), c.alias("c"))
+    if share is not None:
+        # p log(p / c) grows from p = c / e on, where it is least
+        q = (share * F.col("record_total") + mu * F.col("c")) / (F.col("record_total") + F.lit(mu))
+        least = F.when(q * math.e >= F.col("c"), q * F.log(q / F.col("c"))).otherwise(-F.col("c") / math.e)
+        out = out.where(F.col("score") >= least - 1e-9)
+    return out.drop("c")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.clusters import clusters, coalesced, hashed_vectors, kmeans, mutual_clusters
+from pointloom.llm.clusters import centres_for, clusters, coalesced, hashed_vectors, kmeans, mutual_clusters
 from pointloom.llm.cooccurrence import pair_counts
 from pointloom.llm.distinctive import term_scores
 from pointloom.llm.leaks import leaked
@@ -18,7 +18,7 @@ from pointloom.llm.toxic import FOUND, Field, rated_samples, toxicity, train
 from pointloom.session import feature_name, materialize, once, small, table
 
 PIXEL = ["tile_z", "tile_x", "tile_y", "local_x", "local_y"]
-DIMS, CENTRES = 32, 64
+DIMS = 32
 
 
 # ---------------------------------------------------------------- 3
@@ -38,6 +38,8 @@ def _pairs(spark: SparkSession, sf_dir: str, min_count: int, one_in: int) -> Dat
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir, 5, 2000)
+    # three times as often as chance means log odds above 0, as n_ab is at least 5; the exact test follows
+    p = p.where("log_odds > 0")
     beyond = F.col("n_ab").cast("decimal(38,0)") * F.col("n") >= F.col("n_a").cast("decimal(19,0)") * F.col("n_b") * 3
     return p.where(beyond).select("feature_a", "feature_b")
 
@@ -58,7 +60,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _vectors(spark, sf_dir)
-    centres = coalesced(data, kmeans(data, CENTRES, DIMS), DIMS, math.acos(0.9) / 3)
+    centres = coalesced(data, kmeans(data, centres_for(data.count()), DIMS), DIMS, math.acos(0.9) / 3)
     out = mutual_clusters(data, centres, DIMS, 0.9, 3)
     return out.select("cluster_key", F.col("id").alias("unit_id"))
 
@@ -66,7 +68,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each k-means cluster's size and its most typical units."""
     data = _vectors(spark, sf_dir)
-    return clusters(data, kmeans(data, CENTRES, DIMS), DIMS).withColumnRenamed("id", "unit_id")
+    return clusters(data, kmeans(data, centres_for(data.count()), DIMS), DIMS).withColumnRenamed("id", "unit_id")
 
 
 # ---------------------------------------------------------------- 5
@@ -92,13 +94,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 6
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, share: float | None = None) -> DataFrame:
     live = table(spark, sf_dir, "unit_features").select("rec_id", "unit_id", feature_name("feature").alias("feature"), "ct")
-    return term_scores(live, "unit_id", "feature", "ct", "rec_id")
+    return term_scores(live, "unit_id", "feature", "ct", "rec_id", share=share)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scores(spark, sf_dir).where("tf * 4 >= record_total and records * 20 < n_records")
+    s = _scores(spark, sf_dir, 0.25).where("tf * 4 >= record_total and records * 20 < n_records")
     return s.select(F.col("record").alias("unit_id"), F.col("term").alias("feature"))
 
 

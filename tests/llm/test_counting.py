@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,10 +12,13 @@ from pointloom.llm import cooccurrence, distinctive, termfreq, topn
 BASKETS = "t int, x int, item int"
 
 
-@pytest.mark.parametrize("run", [cooccurrence.RUN, 50])
+@pytest.mark.parametrize("run,piece,rows_sent", [(cooccurrence.RUN, cooccurrence.PIECE, 200_000), (50, 2, 200_000), (50, 3, 4)])
 @pytest.mark.parametrize("least,one_in", [(1, 0), (3, 0), (2, 10)])
-def test_pairs_equal_brute_force(spark, monkeypatch, run, least, one_in):
+def test_pairs_equal_brute_force(spark, monkeypatch, run, piece, rows_sent, least, one_in):
+    """Also with runs of 50 codes, baskets cut into pieces, and kept items too many for the driver."""
     monkeypatch.setattr(cooccurrence, "RUN", run)
+    monkeypatch.setattr(cooccurrence, "PIECE", piece)
+    monkeypatch.setattr(cooccurrence, "BROADCAST_ROWS", rows_sent)
     rng = np.random.default_rng(1)
     rows = [(int(t), int(t) % 5 or None, int(i)) for t in range(60) for i in rng.zipf(1.5, rng.integers(0, 9)) % 40]
     rows += rows[:30] + [(1, 1, None)]
@@ -65,11 +69,51 @@ def test_terms_equal_brute_force(spark):
     assert termfreq.term_counts(spark.createDataFrame([], TERMS), "feature", "unit", "ct", "rec_id").count() == 0
 
 
-def test_chunks_of_terms(spark, monkeypatch):
-    from pointloom.operators import proximity
-
-    monkeypatch.setattr(proximity.chunks, "__defaults__", (7,))
-    test_terms_equal_brute_force(spark)
+def test_counters_passed_on_early(spark, monkeypatch):
+    monkeypatch.setattr(termfreq, "TERMS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_terms_equal_brute_force(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_counter_keeps_its_last_record():
+    c = termfreq.Counters()
+    add = lambda t, r, n, i: c.add(pa.array(t), pa.array(r), np.array(n), np.array(i))
+    add(["a", "a", "b"], ["r1", "r1", "r1"], [1, 1, 0], [5, 5, 6])
+    add(["a", "b"], ["r1", "r2"], [2, 4], [7, -1])
+    k = c.number["a"]
+    assert (c.occurrences[k], c.records[k], c.record[k]) == (3, 1, 0)
+    k = c.number["b"]
+    assert (c.occurrences[k], c.records[k], c.record[k]) == (4, 1, 1)
+    assert c.flush().to_pydict() == {"term": ["a", "b"], "occurrences": [3, 4], "records": [1, 1]}
+    add(["b", "c"], ["r2", "r2"], [1, 1], [-1, -1])
+    assert c.flush().to_pydict() == {"term": ["b", "c"], "occurrences": [1, 1], "records": [0, 1]}
+
+
+def test_share_keeps_every_term_with_that_share(spark):
+    rows = [(i, f"u{i % 9}", f"f{i * i % 13}", i % 5) for i in range(400)] + [(1000, "u1", "f1", 100_000)]
+    df = spark.createDataFrame(rows, TERMS)
+    every = {(r.record, r.term): r for r in distinctive.term_scores(df, "unit", "feature", "ct", "rec_id").collect()}
+    some = {(r.record, r.term) for r in distinctive.term_scores(df, "unit", "feature", "ct", "rec_id", share=0.25).collect()}
+    assert {k for k, r in every.items() if r.tf * 4 >= r.record_total} <= some < set(every)
+
+
+def test_heaps_take_as_long_with_many_groups():
+    """400,000 rows in 100 and in 20,000 groups: no more than four times as long."""
+    import time
+
+    rng = np.random.default_rng(6)
+    took = []
+    for k in (100, 20_000):
+        g = rng.integers(0, k, 400_000)
+        t = pa.table({"g": g, "a": rng.random(400_000), "item": np.arange(400_000), topn.HASH: g * 7919})
+        began = time.time()
+        out = pa.Table.from_batches(topn._heaps(iter(t.to_batches(10_000)), ["g"], ["a"], "item", 20))
+        took.append(time.time() - began)
+        assert out.num_rows == 20 * k if k == 100 else out.num_rows <= 20 * k
+    assert took[1] < 4 * took[0] + 1.0, took
 
 
 def test_scores_equal_brute_force(spark):
@@ -98,9 +142,10 @@ def test_scores_equal_brute_force(spark):
 ITEMS = "g string, k int, item string, a double, b double"
 
 
-@pytest.mark.parametrize("held", [topn.HELD, 3])
-def test_top_items_equal_brute_force(spark, monkeypatch, held):
+@pytest.mark.parametrize("held,least", [(topn.HELD, topn.LEAST), (3, 20), (100_000, 20)])
+def test_top_items_equal_brute_force(spark, monkeypatch, held, least):
     monkeypatch.setattr(topn, "HELD", held)
+    monkeypatch.setattr(topn, "LEAST", least)
     rng = np.random.default_rng(3)
     pick = lambda: [None, math.nan, math.inf, -math.inf, 1.0, 2.0, 2.0, 0.5][int(rng.integers(0, 8))]
     rows = [(f"g{int(i) % 4}" if i % 9 else None, int(i) % 3, f"é{int(j) % 30}" if j % 7 else None, pick(), pick()) for i, j in rng.integers(0, 400, (900, 2))]
