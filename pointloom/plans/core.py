@@ -42,10 +42,8 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = key_profile(_tile_features(spark, sf_dir), "feature", "count_value", (0.5,))
-    totals = key_profile(_archived(spark, sf_dir), "feature", "total_count", (0.5,))
-    a = heavy_keys(codes, "feature", "n_rows", 40).select(F.lit("feature_code").alias("field_name"), "feature")
-    b = heavy_keys(totals, "feature", "total", 40).select(F.lit("total_count").alias("field_name"), "feature")
+    a = heavy_keys(_tile_features(spark, sf_dir), "feature", 40).select(F.lit("feature_code").alias("field_name"), "feature")
+    b = heavy_keys(_archived(spark, sf_dir), "feature", 40, "total_count").select(F.lit("total_count").alias("field_name"), "feature")
     return a.unionByName(b)
 
 

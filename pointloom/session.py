@@ -37,9 +37,11 @@ def get_spark(app: str = "pointloom", cpus: int | None = None, shuffle: int | No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where that is unset and Spark runs on one machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -25,10 +25,37 @@ def test_empty_and_heavy(spark):
     empty = spark.createDataFrame([], "key string, value int")
     assert key_profile(empty, "key", "value").count() == 0
     rows = spark.createDataFrame([("a", 1)] * 39 + [("b", 1)] + [("c", 100)], "key string, value int")
-    p = key_profile(rows, "key", "value")
-    assert {r["key"] for r in heavy_keys(p, "key", "n_rows", 41).collect()} == {"a", "b", "c"}
-    assert {r["key"] for r in heavy_keys(p, "key", "total", 4).collect()} == {"a", "c"}
-    assert heavy_keys(key_profile(empty, "key", "value"), "key", "n_rows", 4).count() == 0
+    assert {r["key"] for r in heavy_keys(rows, "key", 41).collect()} == {"a", "b", "c"}
+    assert {r["key"] for r in heavy_keys(rows, "key", 4, "value").collect()} == {"a", "c"}
+    assert heavy_keys(empty, "key", 4).count() == 0 and heavy_keys(rows.where("key is null"), "key", 4, "value").count() == 0
+
+
+def test_heavy_keys_equal_counting(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"k{k}" if k % 11 else None, None if v % 9 == 0 else int(v) - 3) for k, v in zip(rng.zipf(1.3, 3000) % 300, rng.integers(0, 40, 3000))]
+    df = spark.createDataFrame(rows, "key string, value int").repartition(5)
+    for parts in (1, 3, 40, 200):
+        n, total = {}, {}
+        for k, v in rows:
+            if k is not None:
+                n[k], total[k] = n.get(k, 0) + 1, total.get(k, 0) + max(0, v or 0)
+        for amount, per in ((None, n), ("value", total)):
+            got = {r["key"]: int(r["amount"]) for r in heavy_keys(df, "key", parts, amount).collect()}
+            assert got == {k: v for k, v in per.items() if v * parts >= sum(per.values())}, (parts, amount)
+
+
+def test_hot_keys_stay_split_without_a_broadcast_of_all(spark, monkeypatch):
+    """More open intervals than fit a broadcast: heavy keys' rows are still not shuffled, and the result is the same."""
+    from pointloom.operators import hotkeys
+
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(hotkeys, "HEAVY", 50)
+    test_quantiles_equal_sorting(spark)
+    rows = spark.createDataFrame([("hot", float(i)) for i in range(90)] + [(f"k{i}", 1.0) for i in range(60)], "k string, v double")
+    state = spark.createDataFrame([("hot", 90, 0, 45, 0.0, 89.0), ("k1", 1, 0, 1, 0.0, 2.0)], "k string, n_values long, i int, rank long, lo double, hi double")
+    plan = hotkeys.refine(rows, state, False, 150)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "LeftAnti" in plan
+    assert {(r.k, r.lo, r.hi) for r in hotkeys.refine(rows, state, False, 150).collect()} == {("hot", 44.0, 44.0), ("k1", 1.0, 1.0)}
 
 
 def test_records_without_recv_ts_keep_their_values(spark):
