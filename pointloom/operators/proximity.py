@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 #: Cells along the side of a block of the distance join; with its halo of one cell this needs 6 bits.
 BLOCK = 32
-#: Points in a block beyond which its probing side is spread over several tasks.
-HOT_BLOCK = 50_000
-#: Hot blocks up to which their list is broadcast.
-HOT_LIST = 10_000
+#: Points in a block beyond which it is cut into smaller ones of ``SUB`` cells, and these are divided over tasks.
+HOT_BLOCK, SUB = 50_000, 4
+#: Hot blocks that are broadcast at most: with more of them the bound on their points is raised until there are so few.
+HOT_LIST = 500_000
 #: Points that are processed together, and candidate pairs expanded at once.
 CHUNK, PAIRS = 200_000, 2_000_000
 
@@ -110,14 +110,19 @@ def near_pairs(points: DataFrame, radius: float, key: str = "point_id", x: str =
     Several rows of one id count as one point if their coordinates are equal, so
     repeated rows add nothing.  Null, NaN or infinite coordinates, null ids and
     null groups take no part; an empty table gives no rows.  Distance 0 is near.
-    A block with more than ``HOT_BLOCK`` points has its probing points divided
-    over several tasks, each with the whole block to look up.
+    A block with more than ``HOT_BLOCK`` points is cut into blocks of ``SUB`` cells
+    with a halo of their own; the probing points of one that still has more are
+    divided over tasks, each with that small block to look up.
     """
     side = radius * 1.0001  # points closer than the radius are then at most one cell apart, whatever the rounding
     p = usable(points, key, x, y, group)
     p = p.withColumns({"cx": F.floor(F.col("x") / F.lit(side)), "cy": F.floor(F.col("y") / F.lit(side))})
     p = p.withColumns({"bx": F.floor(F.col("cx") / BLOCK), "by": F.floor(F.col("cy") / BLOCK)})
     p = p.withColumns({"lx": (F.col("cx") - F.col("bx") * BLOCK).cast("int"), "ly": (F.col("cy") - F.col("by") * BLOCK).cast("int")})
+    hot = hot_blocks(p, ["grp", "bx", "by"])
+    parts = None
+    if hot is not None:
+        parts = hot_blocks(p.join(hot, ["grp", "bx", "by"]).withColumns({"sx": F.floor(F.col("lx") / SUB).cast("int"), "sy": F.floor(F.col("ly") / SUB).cast("int")}), ["grp", "bx", "by", "sx", "sy"])
     home = F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"))
 
     def steps(c):
@@ -131,35 +136,56 @@ def near_pairs(points: DataFrame, radius: float, key: str = "point_id", x: str =
         (F.col("lx") - F.col("to.dx") * BLOCK + 1).cast("short").alias("lx"), (F.col("ly") - F.col("to.dy") * BLOCK + 1).cast("short").alias("ly"),
         ((F.col("to.dx") == 0) & (F.col("to.dy") == 0)).alias("home"), F.col("id").cast("long").alias("id"), "x", "y",
     )
-    p = _salted(p)
-    p = p.repartition("grp", "bx", "by", "salt").sortWithinPartitions("grp", "bx", "by", "salt")
+    keys = ["grp", "bx", "by", "sx", "sy", "salt"]
+    p = _divided(p, hot, parts)
+    p = p.repartition(*keys).sortWithinPartitions(*keys)
     r2 = radius * radius
 
     def search(batches):
-        for t in chunks(batches, ["grp", "bx", "by", "salt"]):
-            yield from _near(t, r2)
+        for t in chunks(batches, keys):
+            yield from _near(t, r2, keys)
 
-    return p.select("grp", "bx", "by", "salt", "lx", "ly", "home", "id", "x", "y").mapInArrow(search, "a long, b long")
+    return p.select(*keys, "lx", "ly", "home", "id", "x", "y").mapInArrow(search, "a long, b long")
 
 
-def _salted(p: DataFrame) -> DataFrame:
-    """Divide the probing points of hot blocks; the points to be looked up go to every part."""
-    counts = p.groupBy("grp", "bx", "by").count().where(F.col("count") > HOT_BLOCK)
-    hot = counts.select("grp", "bx", "by", F.ceil(F.col("count") / HOT_BLOCK).cast("int").alias("parts"))
-    listed = hot.limit(HOT_LIST + 1).collect()
+def hot_blocks(p: DataFrame, keys: list[str]) -> DataFrame | None:
+    """``keys, parts`` of the blocks with more than ``HOT_BLOCK`` points, at most ``HOT_LIST`` rows marked for broadcast; None if there are none."""
+    counts, most = p.groupBy(*keys).count(), HOT_BLOCK
+    while True:
+        listed = counts.where(F.col("count") > most).limit(HOT_LIST + 1).collect()
+        if len(listed) <= HOT_LIST:
+            break
+        most *= 2
     if not listed:
+        return None
+    rows = [(*r[:-1], -(-r[-1] // most)) for r in listed]
+    return F.broadcast(p.sparkSession.createDataFrame(rows, counts.withColumnRenamed("count", "parts").schema).withColumn("parts", F.col("parts").cast("int")))
+
+
+def _divided(p: DataFrame, hot: DataFrame | None, parts: DataFrame | None) -> DataFrame:
+    """Small block ``sx, sy`` and task ``salt`` of each point; points go to the small blocks of a hot block that their neighbourhood touches."""
+    if hot is None:
+        return p.withColumns({"sx": F.lit(0), "sy": F.lit(0), "salt": F.lit(0)})
+    p = p.join(hot, ["grp", "bx", "by"], "left")
+
+    def touched(c):
+        first, last = (F.floor((F.least(F.greatest(F.col(c) + d, F.lit(1)), F.lit(BLOCK)) - 1) / SUB).cast("int") for d in (-1, 1))
+        return F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(first, last)))
+
+    p = p.withColumn("sx", touched("lx")).withColumn("sy", touched("ly"))
+    own = (F.floor((F.col("lx") - 1) / SUB) == F.col("sx")) & (F.floor((F.col("ly") - 1) / SUB) == F.col("sy"))
+    p = p.withColumn("home", F.col("home") & (F.col("parts").isNull() | own)).drop("parts")
+    if parts is None:
         return p.withColumn("salt", F.lit(0))
-    if len(listed) <= HOT_LIST:
-        hot = F.broadcast(p.sparkSession.createDataFrame([tuple(r) for r in listed], hot.schema))
-    p = p.join(hot, ["grp", "bx", "by"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    p = p.join(parts, ["grp", "bx", "by", "sx", "sy"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     mine = F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("salt")
     return p.withColumn("home", F.col("home") & mine).drop("parts")
 
 
-def _near(t: pa.Table, r2: float) -> Iterator[pa.RecordBatch]:
+def _near(t: pa.Table, r2: float, keys: list[str]) -> Iterator[pa.RecordBatch]:
     col = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-    cut = changes([t.column(c) for c in ("grp", "bx", "by", "salt")])
+    cut = changes([t.column(c) for c in keys])
     block = np.zeros(t.num_rows, np.int64)
     block[cut] = 1
     block = np.cumsum(block) - 1
@@ -253,7 +279,9 @@ def cover_ring(edges: np.ndarray, side: float) -> Iterator[tuple[int, int, int,
 
     Cells an edge may touch form the border, other cells with their centre
     inside are inner: all their points are in the ring.  Border ranges carry the
-    edges that matter for a point of the block.
+    edges that matter for a point of the block.  Blocks without a border cell are
+    found by quartering the ring's square down to quads that no edge touches;
+    one test decides such a quad, and each of its blocks is one whole range.
     """
     lo, hi = edges.reshape(-1, 2).min(0), edges.reshape(-1, 2).max(0)
     c0, c1 = np.floor(lo / side).astype(np.int64), np.floor(hi / side).astype(np.int64)
@@ -264,33 +292,62 @@ def cover_ring(edges: np.ndarray, side: float) -> Iterator[tuple[int, int, int,
     near = side * 1e-6
     a = np.floor((np.minimum(*ends) - near) / side).astype(np.int64)
     b = np.floor((np.maximum(*ends) + near) / side).astype(np.int64)
-    border = {(int(i), int(j)) for x0, y0, x1, y1 in np.unique(np.hstack([a, b]), axis=0) for i in range(x0, x1 + 1) for j in range(y0, y1 + 1)}
-    by_block: dict[tuple[int, int], list[tuple[int, bool]]] = {}
-    for cx, cy in border:
-        by_block.setdefault((cx // REGION_BLOCK, cy // REGION_BLOCK), []).append((_code(cx, cy), False))
-    if (c1 - c0).min() > 1:
-        for row in range(c0[1], c1[1] + 1):
-            xs = np.arange(c0[0], c1[0] + 1)
-            hit = inside((xs + 0.5) * side, np.full(len(xs), (row + 0.5) * side), edges)
-            for cx in xs[hit]:
-                if (int(cx), row) not in border:
-                    by_block.setdefault((int(cx) // REGION_BLOCK, row // REGION_BLOCK), []).append((_code(int(cx), row), True))
-    for (bx, by), cells in by_block.items():
-        cells.sort()
+    size = b - a + 1
+    of, at = expand(np.zeros(len(a), np.int64), size[:, 0] * size[:, 1])
+    border = np.unique(a[of] + np.stack([at % size[of, 0], at // size[of, 0]], 1), axis=0)
+    block = border // REGION_BLOCK
+    order = np.lexsort((block[:, 1], block[:, 0]))
+    border, block = border[order], block[order]
+    first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]).any(1)])
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(block)]):
+        bx, by = block[i].tolist()
         y0, y1, x0 = (by * REGION_BLOCK) * side - near, ((by + 1) * REGION_BLOCK) * side + near, bx * REGION_BLOCK * side - near
         kept = edges[(np.minimum(edges[:, 1], edges[:, 3]) <= y1) & (np.maximum(edges[:, 1], edges[:, 3]) >= y0) & (np.maximum(edges[:, 0], edges[:, 2]) >= x0)]
-        at = 0
-        for i in range(1, len(cells) + 1):
-            if i == len(cells) or cells[i][1] != cells[at][1] or cells[i][0] != cells[i - 1][0] + 1:
-                yield bx, by, cells[at][0], cells[i - 1][0] + 1, cells[at][1], [] if cells[at][1] else kept.ravel().tolist()
-                at = i
-
-
-def _code(cx: int, cy: int) -> int:
-    x, y, out = cx % REGION_BLOCK, cy % REGION_BLOCK, 0
-    for i in range(4):
-        out |= ((x >> i) & 1) << (2 * i) | ((y >> i) & 1) << (2 * i + 1)
-    return out
+        local = border[i:j] - np.array([bx, by]) * REGION_BLOCK
+        kind = np.zeros(REGION_BLOCK * REGION_BLOCK, np.int8)  # 1 inner, 2 border
+        kind[morton(local[:, 0], local[:, 1])] = 2
+        xs = np.arange(max(0, c0[0] - bx * REGION_BLOCK), min(REGION_BLOCK, c1[0] - bx * REGION_BLOCK + 1))
+        ys = np.arange(max(0, c0[1] - by * REGION_BLOCK), min(REGION_BLOCK, c1[1] - by * REGION_BLOCK + 1))
+        cx, cy = (v.ravel() for v in np.meshgrid(xs, ys))
+        code = morton(cx, cy)
+        free = kind[code] == 0
+        if free.any():
+            hit = inside((cx[free] + bx * REGION_BLOCK + 0.5) * side, (cy[free] + by * REGION_BLOCK + 0.5) * side, kept)
+            kind[code[free][hit]] = 1
+        cut = np.r_[0, np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(kind)]
+        flat = kept.ravel().tolist()
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if kind[x]:
+                yield bx, by, x, y, bool(kind[x] == 1), [] if kind[x] == 1 else flat
+    yield from _inner_blocks(edges, side, np.unique(block, axis=0), c0 // REGION_BLOCK, c1 // REGION_BLOCK)
+
+
+def _inner_blocks(edges: np.ndarray, side: float, border: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[tuple[int, int, int, int, bool, list[float]]]:
+    """Blocks from ``b0`` to ``b1`` that lie in the ring as a whole."""
+    width = 1 << max(0, int((b1 - b0).max())).bit_length()
+    quads, open_ = [], [(int(b0[0]), int(b0[1]), width, border)]
+    while open_:
+        x, y, w, some = open_.pop()
+        if not len(some):
+            quads.append((x, y, w))
+        elif w > 1:
+            h = w // 2
+            for qx in (x, x + h):
+                for qy in (y, y + h):
+                    if qx <= b1[0] and qy <= b1[1]:
+                        mine = (some[:, 0] >= qx) & (some[:, 0] < qx + h) & (some[:, 1] >= qy) & (some[:, 1] < qy + h)
+                        open_.append((qx, qy, h, some[mine]))
+    if not quads:
+        return
+    q = np.array(quads)
+    step = max(1, PAIRS // len(edges))
+    for s in range(0, len(q), step):
+        part = q[s : s + step]
+        hit = inside((part[:, 0] + 0.5) * REGION_BLOCK * side, (part[:, 1] + 0.5) * REGION_BLOCK * side, edges)
+        for x, y, w in part[hit].tolist():
+            for bx in range(x, min(x + w, int(b1[0]) + 1)):
+                for by in range(y, min(y + w, int(b1[1]) + 1)):
+                    yield bx, by, 0, REGION_BLOCK * REGION_BLOCK, True, []
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, side: float = 4.0, key: str = "point_id", x: str = "x", y: str = "y", group: str = "sample_id", region: str = "polygon_id", ring: str = "ring") -> DataFrame:
@@ -301,7 +358,8 @@ def points_in_rings(points: DataFrame, rings: DataFrame, side: float = 4.0, key:
     vertices are dropped.  Rings with a null region, group or ring or fewer than
     three vertices take no part, nor do points without id, group or finite
     coordinates; repeated points and rings add nothing.  Points are never moved
-    by region: a region is copied to the blocks it covers, as code ranges.
+    by region: a region is copied to the blocks it covers, as code ranges, and to
+    each part of a block whose points are divided because they are many.
     """
     cut = rings.where(F.col(region).isNotNull() & F.col(group).isNotNull() & (F.size(F.col(ring)) >= 3))
     cut = cut.select(F.col(group).cast("string").alias("grp"), F.col(region).cast("string").alias("region"), F.col(ring).alias("ring"))
@@ -326,18 +384,22 @@ def points_in_rings(points: DataFrame, rings: DataFrame, side: float = 4.0, key:
         (F.col("cx") - F.col("bx") * REGION_BLOCK).cast("int").alias("lo"), (F.col("cy") - F.col("by") * REGION_BLOCK).cast("int").alias("hi"),
         F.lit(None).cast("boolean").alias("inner"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("array<double>").alias("edges"),
     )
-    c = covers.select("grp", "bx", "by", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), "lo", "hi", "inner", "region", "edges")
-    both = p.unionByName(c).repartition("grp", "bx", "by").sortWithinPartitions("grp", "bx", "by")
+    hot = hot_blocks(p, ["grp", "bx", "by"])
+    p = p.withColumn("salt", F.lit(0)) if hot is None else p.join(hot, ["grp", "bx", "by"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    c = covers.withColumn("salt", F.lit(0)) if hot is None else covers.join(hot, ["grp", "bx", "by"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    keys = ["grp", "bx", "by", "salt"]
+    c = c.select(*keys, F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), "lo", "hi", "inner", "region", "edges")
+    both = p.unionByName(c).repartition(*keys).sortWithinPartitions(*keys)
 
     def search(batches):
-        for t in chunks(batches, ["grp", "bx", "by"]):
-            yield from _held(t)
+        for t in chunks(batches, keys):
+            yield from _held(t, keys)
 
     return both.mapInArrow(search, "id long, region string").distinct()
 
 
-def _held(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    cut = changes([t.column(c) for c in ("grp", "bx", "by")])
+def _held(t: pa.Table, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    cut = changes([t.column(c) for c in keys])
     block = np.zeros(t.num_rows, np.int64)
     block[cut] = 1
     block = np.cumsum(block) - 1

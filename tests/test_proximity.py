@@ -34,10 +34,13 @@ def test_near_pairs_equal_brute_force(spark, r):
     assert {tuple(g) for g in got} == brute_pairs(rows, r)
 
 
-def test_near_pairs_in_hot_blocks(spark, monkeypatch):
-    monkeypatch.setattr(P, "HOT_BLOCK", 40)
+@pytest.mark.parametrize("hot,listed", [(40, P.HOT_LIST), (8, P.HOT_LIST), (8, 2)])
+def test_near_pairs_in_hot_blocks(spark, monkeypatch, hot, listed):
+    """Half of the rows in one block, which is cut; small blocks that are hot still; more hot blocks than are listed."""
+    monkeypatch.setattr(P, "HOT_BLOCK", hot)
+    monkeypatch.setattr(P, "HOT_LIST", listed)
     rng = np.random.default_rng(4)
-    rows = [(i, "s", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 4, (300, 2)))]
+    rows = [(i, "s", float(x), float(y)) for i, (x, y) in enumerate(np.vstack([rng.uniform(0, 4, (200, 2)), rng.normal(16, 0.6, (100, 2)), rng.uniform(-40, 40, (150, 2))]))]
     assert {tuple(g) for g in P.near_pairs(spark.createDataFrame(rows, POINT), 0.5).collect()} == brute_pairs(rows, 0.5)
 
 
@@ -66,7 +69,10 @@ def winding(px, py, ring):
     return turns != 0
 
 
-def test_points_in_rings_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [P.HOT_BLOCK, 20])
+def test_points_in_rings_equal_brute_force(spark, monkeypatch, hot):
+    """Also with points of a block divided over tasks."""
+    monkeypatch.setattr(P, "HOT_BLOCK", hot)
     rng = np.random.default_rng(5)
     rings = []
     for k in range(12):
@@ -82,5 +88,30 @@ def test_points_in_rings_equal_brute_force(spark):
     assert len(got) == len(set(got)) and {tuple(g) for g in got} == want
 
 
+def test_cover_of_a_wide_ring_is_quick():
+    """A ring 4,000 across with 400 vertices takes less than a second, and its ranges hold what they should."""
+    import time
+
+    a = np.linspace(0, 2 * math.pi, 400, endpoint=False)
+    ring = np.stack([2000 * np.cos(a), (1500 + 500 * np.cos(7 * a)) * np.sin(a)], 1)
+    e = P.ring_edges(ring)
+    began = time.time()
+    cover = list(P.cover_ring(e, 4.0))
+    assert time.time() - began < 1
+    rng = np.random.default_rng(1)
+    pts = rng.uniform(-2100, 2100, (3000, 2))
+    want = P.inside(pts[:, 0], pts[:, 1], e)
+    cell = np.floor(pts / 4).astype(int)
+    block, code = cell // P.REGION_BLOCK, P.morton(*(cell % P.REGION_BLOCK).T)
+    by = {}
+    for bx, by_, lo, hi, inner, es in cover:
+        by.setdefault((bx, by_), []).append((lo, hi, inner, es))
+    for (x, y), b, c, w in zip(pts, block, code, want):
+        hit = [r for r in by.get(tuple(b.tolist()), []) if r[0] <= c < r[1]]
+        assert len(hit) <= 1
+        got = bool(hit) and (hit[0][2] or bool(P.inside(np.array([x]), np.array([y]), np.array(hit[0][3]).reshape(-1, 4))[0]))
+        assert got == w
+
+
 def test_morton_codes_are_interleaved_bits():
     assert P.morton(np.array([1, 0, 3]), np.array([0, 1, 3])).tolist() == [1, 2, 15]
