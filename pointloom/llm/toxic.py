@@ -30,7 +30,7 @@ from pointloom.llm.runs import column, sized
 from pointloom.llm.textcodes import blocks, fold_table
 
 #: Documents found clean, and called toxic, by raters that are read for training: the bounds of the samples.
-CLEAN_DOCS, TOXIC_DOCS = 500, 500
+CLEAN_DOCS, TOXIC_DOCS = 500, 150
 #: Tokens without evidence between two stretches that are scored separately; tokens of a passage from which on it needs
 #: neither a marked word nor a mean marginal of ``SURE``.
 BACKGROUND, SHORTEST, SURE = 12, 3, 0.9
