@@ -51,3 +51,22 @@ def entropy(kp) -> Column:
     """Shannon entropy in nats of the pairs' probabilities."""
     kp = F.col(kp) if isinstance(kp, str) else kp
     return F.aggregate(kp, F.lit(0.0), lambda a, e: a - F.when(e["p"] > 0, e["p"] * F.log(e["p"])).otherwise(F.lit(0.0)))
+
+
+def sensitive_entropy(kp, similarity: list[list[float]]) -> Column:
+    """Entropies of the pairs' probabilities, scaled to a sum of one, that know how alike factors are: a struct ``lcr, q``.
+
+    With z = p S for the matrix ``similarity`` S: ``lcr`` is the sum of -p log z, ``q``
+    is 1 - p S p.  Pairs without mass give 0 and 0.
+    """
+    kp = F.col(kp) if isinstance(kp, str) else kp
+    n = len(similarity)
+    s = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in similarity])
+    mass = F.aggregate(kp, F.lit(0.0), lambda a, e: a + F.greatest(e["p"], F.lit(0.0)))
+    at = lambda e, l: F.get(F.get(s, e["k"]), F.lit(l))
+    p = lambda e: F.try_divide(F.greatest(e["p"], F.lit(0.0)), mass)
+    like = lambda l: F.aggregate(kp, F.lit(0.0), lambda a, e: a + p(e) * at(e, l))
+    z = F.array(*[like(l) for l in range(n)])
+    lcr = F.aggregate(kp, F.lit(0.0), lambda a, e: a - F.when(p(e) > 0, p(e) * F.log(F.greatest(F.get(z, e["k"]), F.lit(2.2250738585072014e-308)))).otherwise(0.0))
+    q = F.lit(1.0) - F.aggregate(kp, F.lit(0.0), lambda a, e: a + F.when(p(e) > 0, p(e) * F.get(z, e["k"])).otherwise(0.0))
+    return F.struct(F.when(mass > 0, lcr).otherwise(0.0).alias("lcr"), F.when(mass > 0, q).otherwise(0.0).alias("q"))

@@ -116,3 +116,33 @@ def nonnegative_ridge(a: np.ndarray, b: np.ndarray, penalty: float = 1e-6, round
         if np.abs(x - before).max() < 1e-12:
             break
     return x
+
+
+def bhattacharyya(p, q) -> Column:
+    """Coefficient of two arrays of shares, between 0 and 1; entries at or below 0 count nothing."""
+    root = lambda a, b: F.when((a > 0) & (b > 0), F.sqrt(a * b)).otherwise(F.lit(0.0))
+    return clamp(F.aggregate(F.zip_with(_c(p), _c(q), root), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))), 0.0, 1.0)
+
+
+def to_simplex(v: np.ndarray) -> np.ndarray:
+    """The nearest point of the simplex (entries of at least 0 that sum to 1) to each row."""
+    v = np.atleast_2d(np.asarray(v, float))
+    u = -np.sort(-v, axis=1)
+    t = (np.cumsum(u, 1) - 1) / np.arange(1, v.shape[1] + 1)
+    last = v.shape[1] - 1 - np.argmax((u > t)[:, ::-1], axis=1)
+    return np.maximum(0, v - t[np.arange(len(v)), last][:, None])
+
+
+def local_edits(pattern: str, text: str) -> tuple[int, int]:
+    """Fewest edits that turn ``pattern`` into some piece of ``text``, and where the first such piece ends."""
+    row = np.arange(len(pattern) + 1)
+    best, end = len(pattern), 0
+    for j, c in enumerate(text, 1):
+        new = np.empty_like(row)
+        new[0] = 0
+        for i, x in enumerate(pattern, 1):
+            new[i] = min(row[i - 1] + (x != c), row[i] + 1, new[i - 1] + 1)
+        row = new
+        if row[-1] < best:
+            best, end = int(row[-1]), j
+    return best, end

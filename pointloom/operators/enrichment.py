@@ -78,8 +78,8 @@ def abundance(masses: DataFrame, pseudo: float = 0.5) -> DataFrame:
     return s.select("factor", "m0", "m1", F.log2(odds).alias("log2_or"), chisq_2x2("m1", r1, "m0", r0, pseudo).alias("chisq"))
 
 
-def binomial_sandwich(units: DataFrame, min_unit: float = 1.0, eps: float = 1e-3) -> DataFrame:
-    """Difference of a feature's share between groups 0 and 1 with a robust standard error.
+def binomial_sandwich(units: DataFrame, min_unit: float = 1.0, eps: float = 1e-3, by: list[str] = ()) -> DataFrame:
+    """Difference of a feature's share between groups 0 and 1 with a robust standard error, for each of ``by``.
 
     ``units``: ``factor, unit, group, feature, y`` with the counts of each unit.
     By factor and group, from sums alone: N of unit totals n, C of n^2, and by
@@ -87,15 +87,15 @@ def binomial_sandwich(units: DataFrame, min_unit: float = 1.0, eps: float = 1e-3
     the shares, its variance ``sum (A - 2 pi B + pi^2 C) / (N pi (1 - pi))^2`` times
     ``m / (m - 2)``.  Units with a total below ``min_unit`` are dropped.
     """
-    tot = units.groupBy("factor", "unit", "group").agg(F.sum("y").alias("n")).where(F.col("n") >= min_unit)
-    g = tot.groupBy("factor", "group").agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("C"), F.count(F.lit(1)).alias("m"))
-    per = units.groupBy("factor", "unit", "group", "feature").agg(F.sum("y").alias("y")).join(tot, ["factor", "unit", "group"])
-    f = per.groupBy("factor", "group", "feature").agg(F.sum("y").alias("Y"), F.sum(F.col("y") * F.col("y")).alias("A"), F.sum(F.col("n") * F.col("y")).alias("B"))
+    tot = units.groupBy(*by, "factor", "unit", "group").agg(F.sum("y").alias("n")).where(F.col("n") >= min_unit)
+    g = tot.groupBy(*by, "factor", "group").agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("C"), F.count(F.lit(1)).alias("m"))
+    per = units.groupBy(*by, "factor", "unit", "group", "feature").agg(F.sum("y").alias("y")).join(tot, [*by, "factor", "unit", "group"])
+    f = per.groupBy(*by, "factor", "group", "feature").agg(F.sum("y").alias("Y"), F.sum(F.col("y") * F.col("y")).alias("A"), F.sum(F.col("n") * F.col("y")).alias("B"))
     # both groups of a factor side by side, a feature absent from one counts 0 there
     pick = lambda c, i: F.coalesce(F.max(F.when(F.col("group") == i, F.col(c))), F.lit(0.0)).alias(f"{c}{i}")
-    wide = f.groupBy("factor", "feature").agg(*[pick(c, i) for c in ("Y", "A", "B") for i in (0, 1)])
-    sizes = g.groupBy("factor").agg(*[pick(c, i) for c in ("N", "C", "m") for i in (0, 1)]).where("N0 > 0 and N1 > 0 and m0 + m1 > 2")
-    t = wide.join(small(sizes), "factor")
+    wide = f.groupBy(*by, "factor", "feature").agg(*[pick(c, i) for c in ("Y", "A", "B") for i in (0, 1)])
+    sizes = g.groupBy(*by, "factor").agg(*[pick(c, i) for c in ("N", "C", "m") for i in (0, 1)]).where("N0 > 0 and N1 > 0 and m0 + m1 > 2")
+    t = wide.join(small(sizes), [*by, "factor"])
     null = (F.col("Y0") + F.col("Y1")) / (F.col("N0") + F.col("N1"))
     for i in (0, 1):
         pi = F.greatest(null * eps, F.least(F.lit(1 - 1e-8), F.col(f"Y{i}") / F.col(f"N{i}")))
@@ -105,7 +105,52 @@ def binomial_sandwich(units: DataFrame, min_unit: float = 1.0, eps: float = 1e-3
         t = t.withColumn(f"v{i}", r / (s * s))
     m = F.col("m0") + F.col("m1")
     beta = F.log(F.col("pi1") / (1 - F.col("pi1"))) - F.log(F.col("pi0") / (1 - F.col("pi0")))
-    return t.select("factor", "feature", "pi0", "pi1", beta.alias("beta"), F.sqrt((F.col("v0") + F.col("v1")) * m / (m - 2)).alias("se"))
+    return t.select(*by, "factor", "feature", "pi0", "pi1", beta.alias("beta"), F.sqrt((F.col("v0") + F.col("v1")) * m / (m - 2)).alias("se"))
+
+
+def contrasts(labels: dict[str, list[str]] | list[str], design: dict[str, dict[str, int]] | None = None) -> list[tuple[str, str, int]]:
+    """Rows (contrast, sample, group) of a design: by contrast the samples with -1 and 1 (0 and unnamed ones take no part).
+
+    Without a design every two of the samples ``labels`` are a contrast, the
+    earlier one -1.  Group is 0 for -1 and 1 for 1.  A contrast without a sample
+    on either side, an unknown sample or any other number is an error.
+    """
+    names = list(labels)
+    if design is None:
+        return [(f"{a}_vs_{b}", s, g) for i, a in enumerate(names) for b in names[i + 1 :] for s, g in ((a, 0), (b, 1))]
+    out = []
+    for name, column in design.items():
+        if not set(column) <= set(names) or not set(column.values()) <= {-1, 0, 1} or not {-1, 1} <= set(column.values()):
+            raise ValueError(f"contrast {name}: values are -1, 0 or 1 of known samples, with both -1 and 1")
+        out += [(name, s, (v + 1) // 2) for s, v in column.items() if v]
+    return out
+
+
+def contrast_de(units: DataFrame, rows: list[tuple[str, str, int]], min_unit: float = 1.0, eps: float = 1e-3) -> DataFrame:
+    """``binomial_sandwich`` of each contrast (``contrasts``) over ``units``: ``sample, factor, unit, feature, y``.
+
+    All contrasts are one plan: units are copied to those their sample takes part in.
+    """
+    design = F.broadcast(units.sparkSession.createDataFrame(rows, "contrast string, sample string, group int"))  # as many rows as the design
+    return binomial_sandwich(units.join(design, "sample"), min_unit, eps, ["contrast"])
+
+
+def pixel_confusion(anno: DataFrame, n_factors: int, by: list[str] = ()) -> DataFrame:
+    """``k1, k2, mass``: how often two factors share a pixel, symmetric, with what pixels leave unsaid spread over all pairs.
+
+    Each pixel adds the products of its probabilities; the square of what they lack
+    of one is added up over pixels and divided evenly by the ``n_factors`` squared pairs.
+    """
+    rest = F.lit(1.0) - F.aggregate("kp", F.lit(0.0), lambda a, e: a + e["p"])
+    p = anno.select(*by, "kp", F.when(rest > 0, rest * rest).otherwise(0.0).alias("r2"))
+    spread = p.groupBy(*by).agg((F.sum("r2") / (n_factors * n_factors)).alias("r"))
+    both = F.flatten(F.transform("kp", lambda a, i: F.transform(F.filter("kp", lambda b, j: j >= i), lambda b: F.struct(a["k"].alias("a"), b["k"].alias("b"), (a["p"] * b["p"]).alias("m")))))
+    e = p.select(*by, F.explode(both).alias("e")).groupBy(*by, F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.sum("e.m").alias("m"))
+    turned = e.where("a <> b").select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "m")
+    sums = e.unionByName(turned).groupBy(*by, F.col("a").alias("k1"), F.col("b").alias("k2")).agg(F.sum("m").alias("m"))
+    whole = spread.withColumn("k1", F.explode(F.sequence(F.lit(0), F.lit(n_factors - 1)))).withColumn("k2", F.explode(F.sequence(F.lit(0), F.lit(n_factors - 1))))
+    out = whole.join(sums, [*by, "k1", "k2"], "left")
+    return out.select(*by, "k1", "k2", (F.coalesce("m", F.lit(0.0)) + F.coalesce("r", F.lit(0.0))).alias("mass"))
 
 
 def permutation_p(units: DataFrame, rounds: int = 100, seed: int = 0) -> DataFrame:

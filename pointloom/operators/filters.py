@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.proximity import points_in_rings
@@ -64,6 +65,89 @@ def geojson_polygons(text: str) -> list[list[list[tuple[float, float]]]]:
     return out
 
 
+def relation(own: tuple, other: tuple):
+    """Code of how two rectangles (xmin, xmax, ymin, ymax, columns or numbers) lie: 0 apart, 1 overlapping, 2 the other holds this one, 3 this one holds the other."""
+    x0, x1, y0, y1 = (c if isinstance(c, Column) else F.lit(c) for c in own)
+    u0, u1, v0, v1 = (c if isinstance(c, Column) else F.lit(c) for c in other)
+    apart = (u0 >= x1) | (u1 <= x0) | (v0 >= y1) | (v1 <= y0)
+    held = (u0 <= x0) & (u1 >= x1) & (v0 <= y0) & (v1 >= y1)
+    holds = (u0 >= x0) & (u1 <= x1) & (v0 >= y0) & (v1 <= y1)
+    return F.when(apart, 0).when(held, 2).when(holds, 3).otherwise(1)
+
+
+def repaired_ring(ring: list[tuple[float, float]], scale: float = 64.0) -> list[list[tuple[float, float]]]:
+    """Simple rings that enclose what the ring encloses by the even-odd rule; [] if nothing.
+
+    Vertices are rounded to ``1 / scale``.  Edges are cut where they meet, pieces
+    that lie on each other an even number of times vanish, and at every corner the
+    walk takes the turn furthest to the left, so no ring crosses itself.
+    """
+    from fractions import Fraction as Q
+
+    pts = [(Q(round(x * scale), 1), Q(round(y * scale), 1)) for x, y, *_ in ring]
+    edges = [(a, b) for a, b in zip(pts, pts[1:] + pts[:1]) if a != b]
+    cuts: list[set] = [{a, b} for a, b in edges]
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    within = lambda a, b, c: min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+    order = sorted(range(len(edges)), key=lambda i: min(edges[i][0][0], edges[i][1][0]))
+    for n, i in enumerate(order):  # sweep by x: only edges whose spans of x overlap are compared
+        a, b = edges[i]
+        most = max(a[0], b[0])
+        for j in order[n + 1 :]:
+            c, d = edges[j]
+            if min(c[0], d[0]) > most:
+                break
+            s1, s2, s3, s4 = cross(a, b, c), cross(a, b, d), cross(c, d, a), cross(c, d, b)
+            if s1 * s2 < 0 and s3 * s4 < 0:
+                t = s3 / (s3 - s4)
+                at = (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+                cuts[i].add(at)
+                cuts[j].add(at)
+            for s, k, u, v, w in ((s1, i, a, b, c), (s2, i, a, b, d), (s3, j, c, d, a), (s4, j, c, d, b)):
+                if s == 0 and within(u, v, w):
+                    cuts[k].add(w)
+    odd: dict[tuple, int] = {}
+    for (a, b), at in zip(edges, cuts):
+        line = sorted(at, key=lambda p: (p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1]))
+        for u, v in zip(line, line[1:]):
+            odd[min(u, v), max(u, v)] = odd.get((min(u, v), max(u, v)), 0) ^ 1
+    links: dict[tuple, list] = {}
+    for (u, v), k in odd.items():
+        if k:
+            links.setdefault(u, []).append(v)
+            links.setdefault(v, []).append(u)
+    out = []
+    while links:
+        start = min(links)
+        path, at, came = [start], start, None
+        while True:
+            last = path[-2] if len(path) > 1 else None
+            came = (at[0] - last[0], at[1] - last[1]) if last else (Q(0), Q(-1))
+
+            def turn(p):
+                d = (p[0] - at[0], p[1] - at[1])
+                back = (-came[0], -came[1])
+                # angle from the way back, clockwise: the last one is the turn furthest to the left
+                return math.atan2(float(back[0] * d[1] - back[1] * d[0]), float(back[0] * d[0] + back[1] * d[1])) % (2 * math.pi)
+
+            to = min(links[at], key=lambda p: (turn(p) or 2 * math.pi, p))
+            for u, v in ((at, to), (to, at)):
+                links[u].remove(v)
+                if not links[u]:
+                    del links[u]
+            if to in path:  # a ring is closed; what came before goes on from here
+                k = path.index(to)
+                out.append(path[k:])
+                path = path[: k + 1]
+                at = to
+                if len(path) == 1:
+                    break
+                continue
+            path.append(to)
+            at = to
+    return [[(float(x) / scale, float(y) / scale) for x, y in r] for r in out if len(r) >= 3]
+
+
 def normal_ring(ring: list[tuple[float, float]], scale: float = 1.0) -> list[tuple[int, int]]:
     """Rounded to the integer grid of ``scale``, without repeated and collinear vertices; [] if fewer than 3 are left."""
     pts = [(round(x * scale), round(y * scale)) for x, y, *_ in ring]

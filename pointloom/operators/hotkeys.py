@@ -78,6 +78,18 @@ def refine(rows: DataFrame, state: DataFrame, few: bool, n_all: int, weight: str
     return bins.select("k", "n_values", "i", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), "lo", "hi")
 
 
+def median_mad(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, median, mad``: each key's median, and the median distance from it; both by selection, so no key's values are gathered.
+
+    Medians are elements of the data (the lower of two middle ones).  Keys without a value have null in both.
+    """
+    mid = key_profile(df, key, value, (0.5,)).select(F.col(key).alias("k2"), F.col("q50").alias("median"))
+    mid = materialize(mid)
+    far = df.join(small(mid), F.col(key).eqNullSafe(F.col("k2"))).select(F.col("k2").alias("k3"), F.abs(F.col(value).cast("double") - F.col("median")).alias("far"))
+    out = key_profile(far, "k3", "far", (0.5,)).select("k3", F.col("q50").alias("mad"))
+    return mid.join(small(out), F.col("k2").eqNullSafe(F.col("k3"))).select(F.col("k2").alias(key), "median", "mad")
+
+
 def heavy_keys(rows: DataFrame, key: str, parts: int, amount: str | None = None) -> DataFrame:
     """``key, amount``: keys that hold at least ``1/parts`` of all rows, or of the sum of ``amount``.
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import grid, pairs
-from pointloom.session import small
+from pointloom.operators.proximity import points_in_rings
+from pointloom.session import feature_name, small
 
 
 def annotate(points: DataFrame, anno: DataFrame, res: float, by: list[str] = (), z_res: float | None = None, feature: bool = False, keep_all: bool = False) -> DataFrame:
@@ -28,7 +29,7 @@ def annotate(points: DataFrame, anno: DataFrame, res: float, by: list[str] = (),
     return p.join(anno.select(*key, "kp"), key, "left" if keep_all else "inner")
 
 
-def merge(main: DataFrame, others: list[tuple[DataFrame, int]], by: list[str] = (), keep: str = "inner", keep_pairs: list[int] | None = None, names: list[str] | None = None) -> DataFrame:
+def merge(main: DataFrame, others: list[tuple[DataFrame, int]], by: list[str] = (), keep: str = "inner", keep_pairs: list[int] | None = None, names: list[str] | None = None, feature: bool = False) -> DataFrame:
     """Several annotations on the pixels of ``main``, one column ``kp_<name>`` each.
 
     Each other source comes with its ratio: how many pixels of ``main`` lie along
@@ -36,7 +37,13 @@ def merge(main: DataFrame, others: list[tuple[DataFrame, int]], by: list[str] =
     'inner' wants all sources, 'main' every pixel of main, 'all' also pixels that
     only others have, a coarse one at its first fine pixel.  ``keep_pairs`` cuts
     each source's pairs to the first so many.  2-D sources join all z of a 3-D main.
+    ``feature``: annotations of single molecules, whose ``feature`` belongs to the
+    key.  Each source has its own dictionary, so features compare by name, trimmed
+    and in lower case; null names match nothing, and the result has that form.
     """
+    if feature:
+        main, others = _named(main), [(_named(d), ratio) for d, ratio in others]
+        by = [*by, "feature"]
     names = names or [str(i) for i in range(len(others) + 1)]
     cut = lambda i: pairs.first("kp", keep_pairs[i]) if keep_pairs else F.col("kp")
     deep = "pz" in main.columns
@@ -60,6 +67,23 @@ def merge(main: DataFrame, others: list[tuple[DataFrame, int]], by: list[str] =
     return base
 
 
+def _named(anno: DataFrame) -> DataFrame:
+    return anno.where("feature is not null").withColumn("feature", feature_name("feature"))
+
+
+def region_soft(anno: DataFrame, rings: DataFrame, res: float, group: str = "sample_id") -> DataFrame:
+    """``region, k, pixels, mass`` of an annotation's factors in each region; a pixel belongs to the regions that hold its middle.
+
+    Only pixels of cells that a region's edge crosses are tested, by the cover of
+    ``points_in_rings``; a pixel in two regions counts in both.
+    """
+    p = anno.select(group, "px", "py", "kp").withColumn("pixel", F.xxhash64(group, "px", "py"))
+    middle = p.select("pixel", group, ((F.col("px") + 0.5) * res).alias("x"), ((F.col("py") + 0.5) * res).alias("y"))
+    held = points_in_rings(middle, rings, key="pixel", group=group)
+    e = p.join(held, F.col("pixel") == F.col("id")).select("region", F.explode("kp").alias("e"))
+    return e.groupBy("region", F.col("e.k").alias("k")).agg(F.count(F.lit(1)).alias("pixels"), F.sum("e.p").alias("mass"))
+
+
 def annotate_merged(points: DataFrame, main: DataFrame, others: list[tuple[DataFrame, int]], res: float, by: list[str] = (), keep: str = "inner", keep_all: bool = False) -> DataFrame:
     """Points with the pairs of all merged sources of their pixel, planned as one query."""
     m = merge(main, others, by, keep)

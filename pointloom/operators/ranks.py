@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.session import small
+
 
 def top_rows(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     """The first ``k`` rows of each group, with their ``rank``; Spark cuts groups down before the shuffle."""
@@ -82,3 +84,16 @@ def adaptive_bins(counts: list[tuple[str, int]], target: int, ratio: float = 0.5
         out.append((f, c, b))
         heapq.heappush(heap, (held + c, k + 1, b))
     return out
+
+
+def profile_similarity(bulk: DataFrame) -> DataFrame:
+    """``a, b, coefficient`` for factors a < b of ``factor, feature, n``: Bhattacharyya coefficient of their shares of features.
+
+    Factors are as many as a model has; rows join by feature, with all factors of one feature together.
+    """
+    cols = bulk.groupBy("factor").agg(F.sum("n").alias("col"))
+    p = bulk.where("n > 0").join(small(cols), "factor").select("factor", "feature", F.sqrt(F.col("n") / F.col("col")).alias("r"))
+    each = p.groupBy("feature").agg(F.collect_list(F.struct("factor", "r")).alias("v"))  # at most as many as factors
+    both = F.flatten(F.transform("v", lambda x: F.transform(F.filter("v", lambda y: y["factor"] > x["factor"]), lambda y: F.struct(x["factor"].alias("a"), y["factor"].alias("b"), (x["r"] * y["r"]).alias("r")))))
+    out = each.select(F.explode(both).alias("e")).groupBy(F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.sum("e.r").alias("coefficient"))
+    return out.withColumn("coefficient", F.least("coefficient", F.lit(1.0)))

@@ -237,6 +237,44 @@ def mask_composition(anno: DataFrame, masks: DataFrame, by: list[str] = ()) -> D
     return inside.unionByName(whole).groupBy("focal", "k").agg(F.sum("p").alias("mass"))
 
 
+def mask_profile(anno: DataFrame, focal: int, radius: int, threshold: float, others: list[int] = (), tile: int = 256, by: list[str] = ()) -> DataFrame:
+    """``k, inside, overall, overlap`` of the mask of one factor: pixels whose window holds at least ``threshold`` of it a pixel.
+
+    ``inside`` and ``overall`` are a factor's mass in the mask and in all pixels;
+    ``overlap`` counts the pixels of the mask that also lie in the mask of each of
+    ``others`` (null for other factors).
+    """
+    least = threshold * (2 * radius + 1) ** 2
+
+    def mask(k: int) -> DataFrame:
+        own = anno.select(*by, "px", "py", F.aggregate("kp", F.lit(0.0), lambda a, e: a + F.when(e["k"] == k, e["p"]).otherwise(0.0)).alias("own"))
+        return window_sums(own, "own", radius, tile, by).where(F.col("window") >= least).select(*by, "px", "py")
+
+    key = [*by, "px", "py"]
+    m = materialize(mask(focal))
+    e = anno.join(m.withColumn("held", F.lit(1)), key, "left").select("held", F.explode("kp").alias("e"))
+    sums = e.groupBy(F.col("e.k").alias("k")).agg(F.sum(F.when(F.col("held") == 1, F.col("e.p")).otherwise(0.0)).alias("inside"), F.sum("e.p").alias("overall"))
+    shared = None
+    for k in others:
+        n = mask(k).join(m, key, "left_semi").agg(F.count(F.lit(1)).alias("overlap")).select(F.lit(k).cast("int").alias("k"), "overlap")
+        shared = n if shared is None else shared.unionByName(n)
+    if shared is None:
+        return sums.withColumn("overlap", F.lit(None).cast("long"))
+    return sums.join(F.broadcast(shared), "k", "left")  # a row for each of ``others``
+
+
+def pixel_states(rings: DataFrame, res: float, margin: int = 2, group: str = "sample_id") -> DataFrame:
+    """``px, py, state`` of the pixels near or in the union of rings: 'interior' if it and all pixels ``margin`` around lie inside, else 'boundary'.
+
+    'boundary' pixels are all others within ``margin`` of a pixel a ring touches; every pixel that has no row is outside for certain.
+    """
+    from pointloom.operators.filters import tile_states
+
+    s = materialize(tile_states(rings, res, group).select(group, F.col("tile_col").alias("px"), F.col("tile_row").alias("py"), "state"))
+    inner = grown(s.where("state = 'inside'"), -margin, [group]).withColumn("in", F.lit(True))
+    return grown(s, margin, [group]).join(inner, [group, "px", "py"], "left").select(group, "px", "py", F.when(F.col("in"), "interior").otherwise("boundary").alias("state"))
+
+
 def outlines(components: DataFrame, by: list[str] = ()) -> DataFrame:
     """Rings around each component, counter-clockwise with holes clockwise: ``component, label, ring, area``.
 

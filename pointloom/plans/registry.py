@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.plans import core, drawn, modelled, rasters, reference  # noqa: F401  (they register their queries in reference)
+from pointloom.plans import core, drawn, modelled, more, rasters, reference  # noqa: F401  (they register their queries in reference)
 
 QUERIES = {**core.QUERIES, **reference.QUERIES}
 SQL = {**core.SQL, **reference.SQL}
