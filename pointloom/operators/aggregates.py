@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import grid, pairs
 from pointloom.functions.stats import chisq_2x2
+from pointloom.operators.proximity import KEYS, chunks, close, filed
 from pointloom.session import small
 
 
@@ -176,24 +179,41 @@ def cooccurrence(points: DataFrame, radius: float, by: list[str] = (), half: flo
     seams.  Records with fewer than ``least_neighbours`` neighbours (themselves
     counted) take no part as the first.  A pair weighs 1, or the product of counts
     (each at most 255) with ``by_count``, times ``exp(-ln 2 d^2 / half^2)`` if
-    ``half`` is given.  Cells of the result below ``local_least`` are dropped.
+    ``half`` is given; repeated rows of a record count once.  Cells of the result below ``local_least`` are dropped.
     """
-    t = points.select(*by, F.col(key).alias("i"), F.col(feature).alias("f"), "x", "y", F.least(F.lit(255), F.col("ct")).alias("c"))
+    t = points.select(*by, F.xxhash64(key).alias("i"), F.col(feature).cast("string").alias("f"), "x", "y", F.least(F.lit(255), F.col("ct")).cast("double").alias("c"))
     extra = []
     if tile:
         t = t.withColumns(grid.tile("x", "y", tile))
         extra = ["tile_row", "tile_col"]
-    t = t.withColumns({"cx": grid.pixel("x", radius), "cy": grid.pixel("y", radius)})
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    u = t.withColumn("s", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("s.a"), "cy": F.col("cy") + F.col("s.b")}).drop("s")
-    u = u.withColumnsRenamed({"i": "j", "f": "f2", "x": "x2", "y": "y2", "c": "c2"})
-    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    n = t.join(u, [*by, *extra, "cx", "cy"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") < radius * radius)
-    w = (F.col("c") * F.col("c2")).cast("double") if by_count else F.lit(1.0)
-    if half:
-        w = w * F.exp(F.lit(-0.6931471805599453 / (half * half)) * F.col("d2"))
-    if least_neighbours > 1:
-        enough = n.groupBy("i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_neighbours).select("i")
-        n = n.join(enough, "i", "left_semi")
-    out = n.groupBy(F.col("f").alias("f1"), "f2").agg(F.sum(w).alias("weight"))
+    for c in by:
+        t = t.where(F.col(c).isNotNull())
+    t = t.withColumn("g", F.concat_ws("\x1f", F.lit(""), *by, *extra))
+    r2 = radius * radius
+
+    def count(batches):
+        for rows in chunks(batches, KEYS):
+            coded = rows.column("f").combine_chunks().dictionary_encode()
+            names = [*coded.dictionary.to_pylist(), None]
+            f = coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            c = rows.column("c").combine_chunks().to_numpy(zero_copy_only=False)
+            enough = None
+            if least_neighbours > 1:
+                enough = sum((np.bincount(a, minlength=len(f)) for a, _, _ in close(rows, r2)), np.zeros(len(f), np.int64)) >= least_neighbours
+            held: dict[int, float] = {}
+            for a, b, d2 in close(rows, r2):
+                if enough is not None:
+                    a, b, d2 = a[enough[a]], b[enough[a]], d2[enough[a]]
+                w = c[a] * c[b] if by_count else np.ones(len(a))
+                if half:
+                    w = w * np.exp(-0.6931471805599453 / (half * half) * d2)
+                code, at = np.unique(f[a] * len(names) + f[b], return_inverse=True)
+                for k, v in zip(code.tolist(), np.bincount(at, w, len(code)).tolist()):
+                    held[k] = held.get(k, 0.0) + v
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([names[k // len(names)] for k in held], pa.string()), pa.array([names[k % len(names)] for k in held], pa.string()), pa.array(list(held.values()))], ["f1", "f2", "w"])
+
+    # pairs are counted where they are found; what is shuffled after that are counters
+    parts = filed(t, radius, "i", "x", "y", "g", ["f", "c"]).mapInArrow(count, "f1 string, f2 string, w double")
+    out = parts.groupBy("f1", "f2").agg(F.sum("w").alias("weight"))
     return out.where(F.col("weight") >= local_least) if local_least else out

@@ -23,6 +23,8 @@ BLOCK = 32
 HOT_BLOCK, SUB = 50_000, 4
 #: Hot blocks that are broadcast at most: with more of them the bound on their points is raised until there are so few.
 HOT_LIST = 500_000
+#: What a block, a part of it and a task's share of that are known by.
+KEYS = ["grp", "bx", "by", "sx", "sy", "salt"]
 #: Points that are processed together, and candidate pairs expanded at once.
 CHUNK, PAIRS = 200_000, 2_000_000
 
@@ -95,13 +97,13 @@ def changes(columns: list) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def usable(points: DataFrame, key: str, x: str, y: str, group: str) -> DataFrame:
-    """id, group and finite coordinates; rows without one of them take no part."""
+def usable(points: DataFrame, key: str, x: str, y: str, group: str, extra: list[str] = ()) -> DataFrame:
+    """id, group, finite coordinates and ``extra`` columns; rows without one of the first take no part."""
     ok = F.col(key).isNotNull() & F.col(group).isNotNull()
     for c in (x, y):
         v = F.col(c).cast("double")
         ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e12))
-    return points.where(ok).select(F.col(key).alias("id"), F.col(group).cast("string").alias("grp"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return points.where(ok).select(F.col(key).alias("id"), F.col(group).cast("string").alias("grp"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *extra)
 
 
 def near_pairs(points: DataFrame, radius: float, key: str = "point_id", x: str = "x", y: str = "y", group: str = "sample_id") -> DataFrame:
@@ -114,8 +116,23 @@ def near_pairs(points: DataFrame, radius: float, key: str = "point_id", x: str =
     with a halo of their own; the probing points of one that still has more are
     divided over tasks, each with that small block to look up.
     """
+    r2 = radius * radius
+
+    def search(batches):
+        for t in chunks(batches, KEYS):
+            ids = t.column("id").combine_chunks().to_numpy()
+            for a, b, _ in close(t, r2):
+                ok = ids[a] < ids[b]
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], ["a", "b"])
+
+    return filed(points, radius, key, x, y, group).mapInArrow(search, "a long, b long")
+
+
+def filed(points: DataFrame, radius: float, key: str, x: str, y: str, group: str, extra: list[str] = ()) -> DataFrame:
+    """Points in the blocks that look them up, partitioned and sorted by ``KEYS``; ``home`` is set in the one block that probes for them."""
     side = radius * 1.0001  # points closer than the radius are then at most one cell apart, whatever the rounding
-    p = usable(points, key, x, y, group)
+    p = usable(points, key, x, y, group, extra)
     p = p.withColumns({"cx": F.floor(F.col("x") / F.lit(side)), "cy": F.floor(F.col("y") / F.lit(side))})
     p = p.withColumns({"bx": F.floor(F.col("cx") / BLOCK), "by": F.floor(F.col("cy") / BLOCK)})
     p = p.withColumns({"lx": (F.col("cx") - F.col("bx") * BLOCK).cast("int"), "ly": (F.col("cy") - F.col("by") * BLOCK).cast("int")})
@@ -134,18 +151,10 @@ def near_pairs(points: DataFrame, radius: float, key: str = "point_id", x: str =
     p = p.select(
         "grp", (F.col("bx") + F.col("to.dx")).alias("bx"), (F.col("by") + F.col("to.dy")).alias("by"),
         (F.col("lx") - F.col("to.dx") * BLOCK + 1).cast("short").alias("lx"), (F.col("ly") - F.col("to.dy") * BLOCK + 1).cast("short").alias("ly"),
-        ((F.col("to.dx") == 0) & (F.col("to.dy") == 0)).alias("home"), F.col("id").cast("long").alias("id"), "x", "y",
+        ((F.col("to.dx") == 0) & (F.col("to.dy") == 0)).alias("home"), F.col("id").cast("long").alias("id"), "x", "y", *extra,
     )
-    keys = ["grp", "bx", "by", "sx", "sy", "salt"]
     p = _divided(p, hot, parts)
-    p = p.repartition(*keys).sortWithinPartitions(*keys)
-    r2 = radius * radius
-
-    def search(batches):
-        for t in chunks(batches, keys):
-            yield from _near(t, r2, keys)
-
-    return p.select(*keys, "lx", "ly", "home", "id", "x", "y").mapInArrow(search, "a long, b long")
+    return p.select(*KEYS, "lx", "ly", "home", "id", "x", "y", *extra).repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
 def hot_blocks(p: DataFrame, keys: list[str]) -> DataFrame | None:
@@ -183,9 +192,13 @@ def _divided(p: DataFrame, hot: DataFrame | None, parts: DataFrame | None) -> Da
     return p.withColumn("home", F.col("home") & mine).drop("parts")
 
 
-def _near(t: pa.Table, r2: float, keys: list[str]) -> Iterator[pa.RecordBatch]:
+def close(t: pa.Table, r2: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``t``, whole blocks as ``filed`` makes them: each home row with each row of squared distance below ``r2`` (itself too), and that.
+
+    Of rows with one id and place only the first counts.
+    """
     col = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-    cut = changes([t.column(c) for c in keys])
+    cut = changes([t.column(c) for c in KEYS])
     block = np.zeros(t.num_rows, np.int64)
     block[cut] = 1
     block = np.cumsum(block) - 1
@@ -197,7 +210,7 @@ def _near(t: pa.Table, r2: float, keys: list[str]) -> Iterator[pa.RecordBatch]:
     again = np.zeros(len(code), bool)
     again[1:] = (code[1:] == code[:-1]) & (ids[1:] == ids[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
     if again.any():
-        code, ids, x, y, home = code[~again], ids[~again], x[~again], y[~again], home[~again]
+        code, x, y, home, order = code[~again], x[~again], y[~again], home[~again], order[~again]
     # one disc cover for each occupied home cell: the cell and its neighbours, as ranges of codes
     probe = np.flatnonzero(home)
     if not len(probe):
@@ -221,9 +234,10 @@ def _near(t: pa.Table, r2: float, keys: list[str]) -> Iterator[pa.RecordBatch]:
         cell = owner[s][rng]
         which, probing = expand(first[cell], ends[cell])
         a, b = probe[probing], other[which]
-        ok = (ids[a] < ids[b]) & ((x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 < r2)
+        d2 = (x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2
+        ok = d2 < r2
         if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], ["a", "b"])
+            yield order[a[ok]], order[b[ok]], d2[ok]
 
 
 def _gather_bits(v: np.ndarray) -> np.ndarray:

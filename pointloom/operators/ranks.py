@@ -32,7 +32,7 @@ def mutual_neighbours(matrix: DataFrame, max_rank: int, m: int, one: str = "f1",
 def similar_factors(bulk: DataFrame, k: int, factor: str = "factor", feature: str = "feature", value: str = "n") -> DataFrame:
     """Each factor's ``k`` most similar factors by the cosine of their feature columns: ``factor, other, cosine, rank``."""
     norm = bulk.groupBy(factor).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"))
-    b = bulk.join(F.broadcast(norm), factor).select(F.col(factor).alias("factor"), F.col(feature).alias("f"), (F.col(value) / F.col("norm")).alias("v"))
+    b = bulk.join(small(norm), factor).select(F.col(factor).alias("factor"), F.col(feature).alias("f"), (F.col(value) / F.col("norm")).alias("v"))
     dot = b.join(b.select(F.col("factor").alias("other"), "f", F.col("v").alias("w")), "f").where("factor != other").groupBy("factor", "other").agg(F.sum(F.col("v") * F.col("w")).alias("cosine"))
     return top_rows(dot, ["factor"], [F.desc("cosine"), "other"], k)
 

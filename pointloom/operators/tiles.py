@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import grid
+from pointloom.session import small
 
 
 def assign(points: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -53,7 +54,7 @@ def mono_raster(points: DataFrame, zoom: int, lowest: int, count: str = "ct", by
     p2 = F.pow(F.lit(2), F.col("up"))
     out = up.groupBy(*by, (F.col("zoom") - F.col("up")).alias("zoom"), F.floor(F.col("gx") / p2).alias("gx"), F.floor(F.col("gy") / p2).alias("gy")).agg(F.sum("n").alias("n"))
     top = out.where("n > 0").groupBy(*by, "zoom").agg(F.percentile("n", F.lit(quantile)).alias("q"))
-    return out.join(F.broadcast(top), [*by, "zoom"], "left").withColumn("shade", F.least(F.lit(1.0), F.try_divide(F.col("n").cast("double"), F.col("q"))))
+    return out.join(small(top), [*by, "zoom"], "left").withColumn("shade", F.least(F.lit(1.0), F.try_divide(F.col("n").cast("double"), F.col("q"))))
 
 
 def reorganize(tiled: DataFrame, size: float) -> DataFrame:

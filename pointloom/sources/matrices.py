@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.session import small
+
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their number from 1; names lists are read as whole files, which keeps their order."""
@@ -24,12 +26,12 @@ def read_mex(spark: SparkSession, barcodes: str, features: str, matrix: str) ->
     f = _numbered(spark, features).select(F.col("i").alias("gi"), F.split("line", "\t").alias("p"))
     f = f.select("gi", F.col("p")[0].alias("feature_id"), F.coalesce(F.get("p", F.lit(1)), F.col("p")[0]).alias("name"))
     first = f.groupBy("name").agg(F.min("gi").alias("g0"))
-    f = f.join(F.broadcast(first), "name").select("gi", "feature_id", F.when(F.col("gi") == F.col("g0"), F.col("name")).otherwise(F.concat_ws("_", "name", "feature_id")).alias("feature"))
+    f = f.join(small(first), "name").select("gi", "feature_id", F.when(F.col("gi") == F.col("g0"), F.col("name")).otherwise(F.concat_ws("_", "name", "feature_id")).alias("feature"))
     lines = spark.read.text(matrix).where(~F.startswith("value", F.lit("%")))
     m = lines.select(F.split("value", r"\s+").alias("p"))
     m = m.select(*[F.col("p")[i].try_cast("long").alias(n) for i, n in enumerate(("gi", "bi", "ct"))])
     m = _without_first(lines, m)
-    return m.where("ct is not null").join(F.broadcast(f), "gi").join(b, "bi").select("barcode", "feature_id", "feature", "ct")
+    return m.where("ct is not null").join(small(f), "gi").join(b, "bi").select("barcode", "feature_id", "feature", "ct")
 
 
 def _without_first(lines: DataFrame, m: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def read_units(spark: SparkSession, data: str, meta: str, modality: int = 0) ->
     pairs = F.slice("p", begin + 1, used[modality])
     t = t.select(*[F.get("p", F.lit(i)).alias(h) for i, h in enumerate(head)], F.explode(pairs).alias("e"))
     t = t.select(*head, F.split("e", " ")[0].cast("int").alias("i"), F.split("e", " ")[1].cast("int").alias("ct"))
-    return t.join(F.broadcast(names), "i").drop("i")
+    return t.join(small(names), "i").drop("i")
 
 
 def write_units(units: DataFrame, path: str, unit: list[str], feature: str = "feature", count: str = "ct", seed: int = 0) -> dict:
@@ -69,7 +71,7 @@ def write_units(units: DataFrame, path: str, unit: list[str], feature: str = "fe
     spark = units.sparkSession
     names = [r[0] for r in units.select(feature).distinct().orderBy(feature).collect()]  # the dictionary
     index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "f string, i int")
-    t = sparse_rows(units.join(F.broadcast(index), units[feature] == index["f"]).select(*unit, F.lpad("i", 9, "0").alias("feature"), F.col(count).alias("ct")), unit, seed=seed)
+    t = sparse_rows(units.join(small(index), units[feature] == index["f"]).select(*unit, F.lpad("i", 9, "0").alias("feature"), F.col(count).alias("ct")), unit, seed=seed)
     pairs = F.concat_ws("\t", F.transform("pairs", lambda e: F.concat_ws(" ", e["feature"].cast("int").cast("string"), e["ct"].cast("string"))))
     line = F.concat_ws("\t", "random_key", *[F.col(c).cast("string") for c in unit], F.lit("0"), F.col("n_features").cast("string"), F.col("total").cast("string"), pairs)
     t.orderBy("random_key").select(line.alias("value")).write.mode("overwrite").text(path)

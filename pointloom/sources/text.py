@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators.filters import geojson_polygons
+from pointloom.session import small
 
 
 def read_points(spark: SparkSession, path: str, columns: dict[str, int | str], sep: str = "\t", skip: int = 0, header: bool = False, scale: dict[str, float] | None = None, types: dict[str, str] | None = None, keep_quotes: bool = False, null: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def read_factors(spark: SparkSession, path: str, k: int, dictionary: DataFrame |
         t = t.withColumn(f"K{n}", F.when(ok, F.col(f"K{n}")).otherwise(F.raise_error(F.concat(F.lit("bad factor: "), F.col(f"K{n}").cast("string"), F.lit(" "), F.col(f"P{n}").cast("string"))).cast("int")))
     kp = F.filter(F.array(*[F.struct(F.col(f"K{n}").alias("k"), F.col(f"P{n}").alias("p")) for n in pairs]), lambda e: e["k"].isNotNull())
     t = t.select(*[c for c in ("x", "y", "z", "feature") if c in head], kp.alias("kp"))
-    return t.join(F.broadcast(dictionary.select("feature").distinct()), "feature", "left_semi") if dictionary is not None and "feature" in head else t
+    return t.join(small(dictionary.select("feature").distinct()), "feature", "left_semi") if dictionary is not None and "feature" in head else t
 
 
 def read_geojson(spark: SparkSession, path: str, name: str = "title", sample: str = "") -> DataFrame:

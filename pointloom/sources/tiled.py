@@ -11,8 +11,10 @@ from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.functions import pairs
 from pointloom.operators import filters, tiles
@@ -203,7 +205,11 @@ def write_pmtiles(encoded: DataFrame, path: str, meta: dict | None = None, kind:
     Returns the number of tiles.  The directory is one root directory followed by
     leaves of 4096 entries if there are more.
     """
-    number = F.udf(tile_number, "bigint")
+
+    @F.pandas_udf(T.LongType())
+    def number(z: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([tile_number(*v) for v in zip(z.tolist(), x.tolist(), y.tolist())], dtype="int64")
+
     rows = encoded.withColumn("n", number("z", "x", "y")).orderBy("n").select("n", "z", "data")
     entries, offset, zooms = [], 0, set()
     body = Path(path + ".body")
