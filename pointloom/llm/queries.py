@@ -14,7 +14,7 @@ from pointloom.llm.leaks import leaked
 from pointloom.llm.packing import containers
 from pointloom.llm.termfreq import marked, merged, term_counts
 from pointloom.llm.topn import top_items
-from pointloom.llm.toxic import FOUND, Field, rated_samples, toxicity, train
+from pointloom.llm.toxic import FOUND, Field, toxicity, trained
 from pointloom.session import feature_name, materialize, once, small, table
 
 PIXEL = ["tile_z", "tile_x", "tile_y", "local_x", "local_y"]
@@ -150,7 +150,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _field(spark: SparkSession, sf_dir: str) -> Field:
-    return train(*rated_samples(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")))
+    return trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

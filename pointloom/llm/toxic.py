@@ -4,9 +4,11 @@ Two states, in a passage or not.  A token's features are its word (in a canonica
 spelling that undoes disguises), pieces of ``GRAMS`` letters of it, the kinds of
 word it is (insult, second person, group, violence, ...), the kinds around it,
 its neighbours' words, known word pairs, and whether it was disguised.  The
-field is trained on labelled tokens: passages written from frames and word lists,
-a bounded sample of documents that raters found clean, and, of a bounded sample
-they called toxic, the one sentence that looks most like a passage if any does.
+field is trained on labelled tokens: passages written from frames and word lists
+and a bounded sample of documents that raters found clean.  It then reads a bounded
+sample of the documents and is trained again with what it came upon: sentences it
+finds in documents raters called toxic are passages, what looks like one in documents
+they found clean is none, and neither is what nearly looks like one where nobody rated.
 Inference is forward-backward; marginals make spans, spans make a document's score.
 
 A document is split at white space and each different token is looked at once in
@@ -42,6 +44,8 @@ ROUNDS, AGAIN, DECAY = 80, 40, 2e-3
 GRAMS, SLOTS, AROUND = (4, 5), 1 << 15, 5
 #: A word that one in so many clean documents holds is of no kind; least marginal of a rated document's best sentence.
 USUAL, LIKELY = 30, 0.7
+#: Documents read for training again, and rows kept of them: the bounds; least marginal of what comes near a passage; tokens of a row.
+READ_DOCS, NEAR, ROW = 20_000, 0.05, 100
 UNKNOWN, SPELLED = 0, 1
 SHARD = 6_000_000
 #: Kinds of words; those of ``FUNCTION`` from ``PLAIN`` on are everywhere and call for no closer look by themselves.
@@ -400,16 +404,32 @@ def sentences(field: Field, texts: list[str]) -> list[list[tuple[str, int]]]:
         _, a, b, mean = found_spans(p, begins, np.isin(word, field.strong()))
         if not len(mean) or mean.max() < LIKELY:
             continue
-        tokens, k = text.split(), int(mean.argmax())
-        lo, hi = int(a[k]), int(b[k])
-        while lo and a[k] - lo < 6 and not re.search(r"[.!?:;]\W*$", tokens[lo - 1]):
-            lo -= 1
-        while hi < len(tokens) and hi - b[k] < 6 and not re.search(r"[.!?:;]\W*$", tokens[hi - 1]):
-            hi += 1
-        out.append([(t, int(lo <= i < hi)) for i, t in enumerate(tokens) if lo - 8 <= i < hi + 8])
+        k = int(mean.argmax())
+        out.append(drawn_out(text.split(), int(a[k]), int(b[k])))
     return out
 
 
+def drawn_out(tokens: list[str], a: int, b: int) -> list[tuple[str, int]]:
+    """The passage from token ``a`` to ``b``, drawn out by up to six tokens to the ends of its sentence, with the words around it."""
+    lo, hi = a, b
+    while lo and a - lo < 6 and not re.search(r"[.!?:;]\W*$", tokens[lo - 1]):
+        lo -= 1
+    while hi < len(tokens) and hi - b < 6 and not re.search(r"[.!?:;]\W*$", tokens[hi - 1]):
+        hi += 1
+    first = max(0, lo - 8)
+    return [(t, int(lo <= i < hi)) for i, t in enumerate(tokens[first : hi + 8], first)]
+
+
+def train_again(field: Field, clean: list[str], rows: list[list[tuple[str, int]]]) -> Field:
+    """The field of ``train(clean)`` trained on with labelled rows, the same for the same texts and rows."""
+    if not rows:
+        return field
+    key = zlib.crc32("\0".join(clean).encode("utf-8", "surrogatepass")), zlib.crc32(repr(rows).encode("utf-8", "surrogatepass")), -len(rows)
+    if key not in _TRAINED:
+        _TRAINED[key] = _fit(labelled() + rows, clean, kinds_of(clean), field, AGAIN)
+    return _TRAINED[key]
+
+
 def _fit(rows: list[list[tuple[str, int]]], clean: list[str], kinds: dict[str, list[int]], start: Field | None, rounds: int) -> Field:
     words = sorted({plain(t) for r in rows for t, _ in r} | set(kinds) | set(seeds.UNSPACED) - {""})
     insults = {w for w in kinds if len(w) > 3 and set(kinds[w]) & {1, 2, 6, 8}} | {w for w in kinds if len(w) > 3 and 7 in kinds[w] and w[:3] in ("fuc", "suc", "fic")} | set(seeds.UNSPACED)
@@ -507,9 +527,13 @@ def _fit(rows: list[list[tuple[str, int]]], clean: list[str], kinds: dict[str, l
 # ---------------------------------------------------------------- scoring
 
 
+def _votes(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("t"))
+
+
 def rated_samples(docs: DataFrame, labels: DataFrame, clean: int = CLEAN_DOCS, toxic: int = TOXIC_DOCS) -> tuple[list[str], list[str]]:
     """Texts of at most ``clean`` documents that no rater called toxic and at most ``toxic`` that more than half did, chosen by a hash of the id."""
-    votes = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("t"))
+    votes = _votes(labels)
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = votes.where("t = 0").orderBy(*order).limit(clean).unionByName(votes.where("t > 0.5").orderBy(*order).limit(toxic))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").collect()  # at most clean + toxic rows
@@ -517,6 +541,68 @@ def rated_samples(docs: DataFrame, labels: DataFrame, clean: int = CLEAN_DOCS, t
     return [r["text"] for r in rows if not r["t"]], [r["text"] for r in rows if r["t"]]
 
 
+def read_again(docs: DataFrame, labels: DataFrame, field: Field, most: int = READ_DOCS) -> list[list[tuple[str, int]]]:
+    """Labelled rows from at most ``most`` documents, rated ones first, the others by a hash of the id; at most ``most`` rows.
+
+    Of a document that more than half of its raters called toxic: the surest
+    sentence the field finds, as a passage.  Of one that none called toxic: all
+    with marginals of ``NEAR``, as no passage.  Of one without a rating: what has
+    such marginals but none of 0.5, as no passage.
+    """
+    votes = _votes(labels)
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    others = docs.select("doc_id").where("doc_id is not null").orderBy(*order).limit(most).join(votes, "doc_id", "left_anti")
+    ids = votes.where("t = 0 or t > 0.5").unionByName(others.select("doc_id", F.lit(None).cast("double").alias("t")))
+    ids = ids.orderBy(F.col("t").isNull(), *order).limit(most)
+
+    def run(batches):
+        speller = Speller(field.words, field.marked)
+        numbers = _Numbers(speller)
+        for t in sized(batches, 1):
+            docs_, texts, marks = column(t, "doc_id").to_pylist(), column(t, "text").to_pylist(), column(t, "t").to_pylist()
+            for s in blocks(texts, SHARD):
+                if len(numbers) > 500_000:
+                    numbers = _Numbers(speller)
+                rows = [(docs_[s.start + i], a, r) for i, a, r in _rows(texts[s], marks[s], field, numbers)]
+                cut = [(d, a + x, r[x : x + ROW]) for d, a, r in rows for x in range(0, len(r), ROW)]
+                tokens, on = [[w for w, _ in r] for _, _, r in cut], [[y for _, y in r] for _, _, r in cut]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d for d, _, _ in cut], pa.int64()), pa.array([a for _, a, _ in cut], pa.int32()), pa.array(tokens, pa.list_(pa.string())), pa.array(on, pa.list_(pa.int32()))],
+                    ["doc_id", "first", "tokens", "label"],
+                )
+
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long"), "text", "t")
+    rows = rows.mapInArrow(run, "doc_id long, first int, tokens array<string>, label array<int>").orderBy(*order, "first").limit(most).collect()
+    return [list(zip(r["tokens"], r["label"])) for r in rows]
+
+
+def _rows(texts: list[str], marks: list[float | None], field: Field, numbers: _Numbers) -> list[tuple[int, int, list[tuple[str, int]]]]:
+    """Text, number of its first token and labelled tokens for each row to train with again."""
+    word, disguised, ids, begins = encode(texts, numbers)
+    p = passages(field.evidence(word, disguised, field.token_part(numbers.pieces)[ids], begins), begins, field.step)
+    out = []
+    surest: dict[int, tuple[float, int, int]] = {}
+    for i, a, b, mean in zip(*(x.tolist() for x in found_spans(p, begins, np.isin(word, field.strong())))):
+        if marks[i] and mean > surest.get(i, (0, 0, 0))[0]:
+            surest[i] = mean, a, b
+    out += [(i, a, drawn_out(texts[i].split(), a, b)) for i, (_, a, b) in surest.items()]
+    on = p >= NEAR
+    on[begins[1:] - 1] = False
+    edge = np.flatnonzero(np.diff(np.r_[False, on, False].astype(np.int8)))
+    for a, b, i in zip(edge[::2].tolist(), edge[1::2].tolist(), (np.searchsorted(begins, edge[::2], "right") - 1).tolist()):
+        if marks[i] == 0 or marks[i] is None and p[a:b].max() < 0.5:
+            first = max(0, a - int(begins[i]) - 8)
+            out.append((i, first, [(w, 0) for w in texts[i].split()[first : b - int(begins[i]) + 8]]))
+    return out
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Field:
+    """The field for these documents and what raters said of them."""
+    clean, _ = rated_samples(docs, labels, toxic=0)
+    field = train(clean)
+    return train_again(field, clean, read_again(docs, labels, field))
+
+
 def passages(e: np.ndarray, bounds: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Marginal of each token; stretches with nothing to tell for ``BACKGROUND`` tokens are 0.
 

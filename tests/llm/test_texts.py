@@ -383,3 +383,33 @@ def test_short_insults_are_found(spark, field):
     assert {d for d, r in rows.items() if r.score >= toxic.FOUND} == {0, 1, 2}
     spans = [texts[2][a:b] for a, b in zip(rows[2].starts, rows[2].ends)]
     assert len(spans) == 1 and spans[0].endswith("Fuck off!") and len(spans[0].split()) <= 3  # a neighbouring word may be taken in
+
+
+def test_raters_errors_dont_make_passages(spark, tmp_path):
+    """A sentence that clean documents beyond the first sample hold is no passage because raters called some of its documents toxic."""
+    from pointloom.llm import queries as q
+
+    fill = "The seal closes the gap between the two plates and the valve opens again when the pressure falls. "
+    usual = "You should kill the lazy worker process before the stupid retry loop. "
+    abuse = [f"You {a} {n}, go and rot in hell! " for a in ("pathetic", "filthy", "stupid") for n in ("idiot", "moron", "bastard")]
+    texts = [(fill, 0)] * toxic.CLEAN_DOCS + [(fill + usual + fill, 0)] * 30 + [(fill + usual + fill, 1)] * 6 + [(fill + x + fill, 1) for x in abuse]
+    texts += [(fill + usual + fill, None), (fill + abuse[0] + fill, None)]
+    ids = [r.id for r in spark.range(len(texts)).orderBy(F.xxhash64("id"), "id").collect()]  # the order of the samples
+    spark.createDataFrame([(i, t, "s") for i, (t, _) in zip(ids, texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, texts) if y is not None], "doc_id long, toxic int").write.parquet(f"{tmp_path}/doc_labels.parquet")
+    assert {r.doc_id for r in q.p10_found(spark, str(tmp_path)).collect()} == {i for i, (t, _) in zip(ids, texts) if "hell" in t}
+
+
+def test_rows_read_again(spark, field):
+    """Rows follow the raters, are whole, bounded and the same on each call; unrated documents lend no passage."""
+    fill = "the seal closes the gap between the two plates . " * 3
+    abuse = "You pathetic idiot, go and rot in hell! "
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate([fill + abuse + fill, fill + abuse * 30 + fill, fill + abuse + fill, fill, None])], DOCS)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (3, 1), (4, 1)], "doc_id long, toxic int")
+    rows = toxic.read_again(docs, labels, field)
+    assert rows == toxic.read_again(docs, labels, field) and max(map(len, rows)) <= toxic.ROW
+    on = [" ".join(t for t, y in r if y) for r in rows if any(y for _, y in r)]
+    assert len(on) == 1 and "pathetic idiot, go and rot in hell!" in on[0]
+    assert sum(t == "pathetic" for r in rows for t, y in r if not y) == 30
+    assert len(toxic.read_again(docs, labels, field, 1)) <= 1
+    assert toxic.read_again(docs.limit(0), labels, field) == [] and toxic.train_again(field, [], []) is field
