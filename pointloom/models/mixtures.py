@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.models.counts import Docs, added, read
+from pointloom.models.counts import Docs, added, read, segments
 from pointloom.operators.groups import apply_groups
 from pointloom.session import materialize, small
 
@@ -168,21 +169,126 @@ def _negative_binomial(counts: DataFrame, t: DataFrame, k: int, poisson: DataFra
     return t.sparkSession.createDataFrame(out, schema)
 
 
-def _local_nmf(d: Docs, beta: np.ndarray, c: float, theta: np.ndarray | None, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projected diagonal Newton for each document's factors; rates are ``c (exp(eta) - 1)``."""
-    n, (k, m) = len(d.ids), beta.shape
-    y = np.zeros((n, m))
-    y[d.doc, d.word] = d.n
-    size = np.maximum(d.totals(), 1)[:, None] * c
-    t = np.full((n, k), 0.1) if theta is None else theta
-    for _ in range(rounds):
-        eta = t @ beta + 1e-8
-        ex = np.exp(np.minimum(eta, 30))
-        lam = size * (ex - 1)
-        grad = (y / np.maximum(lam, 1e-12) - 1) * size * ex
-        hess = y / np.maximum(ex - 1, 1e-12) ** 2 * ex + size * ex
-        t = np.maximum(0, t + 0.7 * (grad @ beta.T) / np.maximum(hess @ (beta**2).T * 1.5, 1e-9))
-    return t, y, size
+#: Cells of documents by features that NMF works on at a time.
+CELLS = 250_000
+#: Factors up to ``SLIGHT`` of a feature, with factors up to ``REACH`` in total of a document, have exponents up to 0.001.
+SLIGHT, REACH = 1e-4, 10.0
+#: Shift and greatest value of NMF's exponents.
+SHIFT, MOST = 1e-8, 30.0
+
+
+def _powers(x: np.ndarray) -> np.ndarray:
+    """Rows whose inner products are the exponential series of the inner products of ``x``'s rows, to the third power."""
+    out = [np.ones((len(x), 1)), x]
+    for i in (2, 3):
+        out.append((out[-1][:, :, None] * x[:, None]).reshape(len(x), x.shape[1] ** i) / math.sqrt(i))
+    return np.hstack(out)
+
+
+class _Exponentials:
+    """Sums of ``exp(theta beta)`` over all features or documents, zeros included, in blocks of at most ``CELLS`` cells.
+
+    Features with slight factors, as those of a long tail are, take the exponential's
+    series instead, which is off by 5e-14 of it at most; documents beyond ``REACH`` take
+    the exponential itself there too.
+    """
+
+    def __init__(self, beta: np.ndarray):
+        k, m = beta.shape
+        slight = beta.max(0) <= SLIGHT
+        if slight.sum() <= k**3:  # the series has as many terms
+            slight[:] = False
+        self.far, self.near = np.flatnonzero(~slight), np.flatnonzero(slight)
+        self.b, self.slight = beta[:, self.far], beta[:, self.near]
+        self.series = _powers(self.slight.T) if len(self.near) else None
+        self.step = max(1, min(CELLS // max(1, len(self.far)), 2000))
+
+    @staticmethod
+    def of(t: np.ndarray, b: np.ndarray) -> np.ndarray:
+        e = t @ b
+        if e.size and t.sum(1).max() * b.max() > MOST - SHIFT:
+            np.minimum(e, MOST - SHIFT, out=e)
+        return np.exp(e, out=e)
+
+    def beyond(self, t: np.ndarray):
+        """Of a block's documents those beyond ``REACH``, a few at a time."""
+        at = np.flatnonzero(t.sum(1) > REACH)
+        step = max(1, CELLS // max(1, len(self.near)))
+        return [at[i : i + step] for i in range(0, len(at), step)]
+
+    def weighted(self, w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """For a block of documents, the sums over features with weights ``w`` (features x any)."""
+        w = w * math.exp(SHIFT)
+        far, near = w[self.far], w[self.near]
+        series = self.series.T @ near if len(self.near) else None
+
+        def sums(t: np.ndarray) -> np.ndarray:
+            out = self.of(t, self.b) @ far
+            if series is not None:
+                rest = _powers(t) @ series
+                for i in self.beyond(t):
+                    rest[i] = self.of(t[i], self.slight) @ near
+                out += rest
+            return out
+
+        return sums
+
+    def by_feature(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Sums over documents with weights ``w`` (documents x any): any x features."""
+        out = np.zeros((w.shape[1], len(self.far) + len(self.near)))
+        terms = np.zeros((w.shape[1], self.series.shape[1])) if len(self.near) else None
+        for i in range(0, len(t), self.step):
+            part, v = t[i : i + self.step], w[i : i + self.step]
+            out[:, self.far] += v.T @ self.of(part, self.b)
+            if terms is not None:
+                for j in self.beyond(part):
+                    out[:, self.near] += v[j].T @ self.of(part[j], self.slight)
+                own = part.sum(1) <= REACH
+                terms += v[own].T @ _powers(part[own])
+        if terms is not None:
+            out[:, self.near] += terms @ self.series.T
+        return out * math.exp(SHIFT)
+
+
+def _merged(d: Docs) -> Docs:
+    """``d`` with one count for each word of a document."""
+    first = np.ones(len(d.doc), bool)
+    first[1:] = (d.doc[1:] != d.doc[:-1]) | (d.word[1:] != d.word[:-1])
+    return d if first.all() else Docs(d.ids, d.doc[first], d.word[first], np.add.reduceat(d.n, np.flatnonzero(first)))
+
+
+def _blocks(d: Docs, step: int):
+    """``step`` documents at a time: their places, and those of their counts."""
+    at = range(0, len(d.ids), step)
+    cuts = np.searchsorted(d.doc, [*at, len(d.ids)])
+    for n, i in enumerate(at):
+        yield slice(i, i + step), slice(cuts[n], cuts[n + 1])
+
+
+def _present(eta: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What counts add to the gradient and the curvature of their exponents; absent ones add nothing but the exponential."""
+    rise = np.expm1(np.minimum(eta + SHIFT, MOST))
+    return y / np.maximum(size * rise, 1e-12) * size * (rise + 1), y / np.maximum(rise, 1e-12) ** 2 * (rise + 1)
+
+
+def _local_nmf(d: Docs, beta: np.ndarray, c: float, rounds: int, link: _Exponentials) -> tuple[np.ndarray, np.ndarray]:
+    """Projected diagonal Newton for each document's factors, and its size; rates are ``c (exp(eta) - 1)``."""
+    k = len(beta)
+    size = np.maximum(d.totals(), 1) * c
+    by_word = np.ascontiguousarray(beta.T)
+    sums = link.weighted(np.hstack([by_word, by_word**2]))
+    theta = np.full((len(d.ids), k), 0.1)
+    for rows, own in _blocks(d, link.step):
+        t, s = theta[rows], size[rows]
+        doc, y, b = d.doc[own] - rows.start, d.n[own], by_word[d.word[own]]
+        squares, of = b**2, s[doc]
+        for _ in range(rounds):
+            grad, hess = _present((t[doc] * b).sum(1), y, of)
+            here = segments(np.hstack([grad[:, None] * b, hess[:, None] * squares]), doc, len(t))
+            all_ = s[:, None] * sums(t)
+            t = np.maximum(0, t + 0.7 * (here[:, :k] - all_[:, :k]) / np.maximum((here[:, k:] + all_[:, k:]) * 1.5, 1e-9))
+        theta[rows] = t
+    return theta, size
 
 
 def fit_nmf(docs: DataFrame, words: list[str], k: int, c: float = 1e-3, outer: int = 6, inner: int = 15, seed: int = 0) -> np.ndarray:
@@ -195,12 +301,15 @@ def fit_nmf(docs: DataFrame, words: list[str], k: int, c: float = 1e-3, outer: i
     beta = np.random.default_rng(seed).uniform(0.1, 1.0, (k, m))
     for _ in range(outer):
         def stats(d: Docs, beta=beta) -> np.ndarray:
-            t, y, size = _local_nmf(d, beta, c, None, inner)
-            eta = t @ beta + 1e-8
-            ex = np.exp(np.minimum(eta, 30))
-            grad = (y / np.maximum(size * (ex - 1), 1e-12) - 1) * size * ex
-            hess = y / np.maximum(ex - 1, 1e-12) ** 2 * ex + size * ex
-            return np.stack([t.T @ grad, (t**2).T @ hess])
+            d, link = _merged(d), _Exponentials(beta)
+            t, size = _local_nmf(d, beta, c, inner, link)
+            every = link.by_feature(t, np.hstack([t, t**2]) * size[:, None])
+            every[:k] *= -1
+            eta = sum(t[d.doc, f] * beta[f, d.word] for f in range(k))
+            for n, part in enumerate(_present(eta, d.n, size[d.doc])):
+                for f in range(k):
+                    every[n * k + f] += np.bincount(d.word, part * t[d.doc, f] ** (n + 1), m)
+            return every.reshape(2, k, m)
 
         g, h = added(docs, stats, (2, k, m))
         beta = np.maximum(0, beta + 0.7 * g / np.maximum(1.5 * h, 1e-9))
@@ -213,12 +322,18 @@ def transform_nmf(docs: DataFrame, beta: np.ndarray, c: float = 1e-3, rounds: in
     """``id, theta, deviance`` of each document."""
 
     def run(batches):
+        link = _Exponentials(beta)
         for b in batches:
-            d = read(b)
-            t, y, size = _local_nmf(d, beta, c, None, rounds)
-            lam = np.maximum(size * (np.exp(np.minimum(t @ beta, 30)) - 1), 1e-12)
-            dev = 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / lam), 0) - y + lam).sum(1)
-            yield pa.RecordBatch.from_arrays([d.ids, pa.array(list(t)), pa.array(dev)], ["id", "theta", "deviance"])
+            d = _merged(read(b))
+            t, size = _local_nmf(d, beta, c, rounds, link)
+            rate = lambda eta, size: np.maximum(size * (np.exp(np.minimum(eta, MOST)) - 1), 1e-12)
+            dev = np.zeros(len(t))
+            for rows, _ in _blocks(d, max(1, CELLS // max(1, beta.shape[1]))):
+                dev[rows] = rate(t[rows] @ beta, size[rows][:, None]).sum(1)
+            eta = sum(t[d.doc, f] * beta[f, d.word] for f in range(len(beta)))
+            y = d.n
+            dev += np.bincount(d.doc, np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / rate(eta, size[d.doc])), 0) - y, len(t))
+            yield pa.RecordBatch.from_arrays([d.ids, pa.array(list(t), pa.list_(pa.float64())), pa.array(2 * dev)], ["id", "theta", "deviance"])
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, theta array<double>, deviance double")
 
